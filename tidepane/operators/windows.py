@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BOUNDS = ("first_epoch", "emit_from", "open_epoch")
 # Slides handled by one task per block, in windows. Spreading panes over their windows inside a
 # block repeats (1 + 1/BLOCK_WINDOWS) windows per slide across block borders.
 BLOCK_WINDOWS = 4
+# Up to this many epochs of one global stream are ordered in a single task.
+ONE_TASK_EPOCHS = 1 << 16
 
 
 def stream_bounds(panes: DataFrame, spec: WindowSpec, keys: Sequence[str] = ()) -> DataFrame:
@@ -50,11 +53,32 @@ def match_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{name}" for name in names])
 
 
-def with_bounds(df: DataFrame, bounds: DataFrame, groups: Sequence[str]) -> DataFrame:
-    if groups:
-        return match_keys(df, bounds, groups, "inner")
-    found = bounds.select(F.struct(*BOUNDS).alias("bounds")).scalar()
-    return df.withColumns({name: found[name] for name in BOUNDS})
+@dataclass(frozen=True)
+class Bounds:
+    """First epoch, first epoch to emit and open epoch: three numbers for one global stream,
+    a table with a row per key otherwise."""
+
+    table: DataFrame | None = None
+    numbers: dict[str, int | None] | None = None
+
+    @classmethod
+    def of(cls, table: DataFrame, groups: Sequence[str]) -> Bounds:
+        if groups:
+            return cls(table=table)
+        row = table.select(*BOUNDS).first()
+        return cls(numbers=row.asDict() if row else dict.fromkeys(BOUNDS))
+
+    def attach(self, df: DataFrame, groups: Sequence[str]) -> DataFrame:
+        if self.table is not None:
+            return match_keys(df, self.table, groups, "inner")
+        return df.withColumns({k: F.lit(v).cast("long") for k, v in self.numbers.items()})
+
+    def epochs_at_most(self, count: int) -> bool:
+        """Whether the stream is known to have no more than ``count`` epochs."""
+        if self.numbers is None:
+            return False
+        first, last = self.numbers["first_epoch"], self.numbers["open_epoch"]
+        return first is None or last - first < count
 
 
 def last_epoch(spec: WindowSpec) -> Column:
@@ -63,7 +87,7 @@ def last_epoch(spec: WindowSpec) -> Column:
 
 
 def closings(
-    epochs: DataFrame, bounds: DataFrame, spec: WindowSpec, groups: Sequence[str], dense: bool
+    epochs: DataFrame, bounds: Bounds, spec: WindowSpec, groups: Sequence[str], dense: bool
 ) -> DataFrame:
     """When each slide was closed: ``groups, e, emitted_at_ms``, NULL for one closed by flush.
 
@@ -75,9 +99,9 @@ def closings(
     followed = running_extreme(
         turned, "_turned",
         {"_next": ("epoch", F.min), "emitted_at_ms": ("opened_ms", F.min)},
-        groups, inclusive=False,
+        groups, inclusive=False, levels=0 if bounds.epochs_at_most(ONE_TASK_EPOCHS) else 1,
     )
-    limited = with_bounds(followed, bounds, groups).filter(F.col("epoch") <= last_epoch(spec))
+    limited = bounds.attach(followed, groups).filter(F.col("epoch") <= last_epoch(spec))
     until = F.coalesce(F.col("_next") - 1, last_epoch(spec))
     if not dense:
         until = F.least(until, F.col("epoch") + spec.slides_per_window)
@@ -87,6 +111,10 @@ def closings(
     )
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(
     panes: DataFrame, spec: WindowSpec, groups: Sequence[str], since: Column, until: Column
 ) -> DataFrame:
@@ -102,7 +130,7 @@ def spread(
     )
     blocked = blocked.withColumn("_block", floor_div(F.col("_since"), width))
     return (
-        blocked.repartition(*groups, "_block")
+        blocked.repartition(shuffle_partitions(panes), *groups, "_block")
         .withColumn("w", F.explode(F.sequence("_since", "_until")))
         .drop("_since", "_until")
     )
@@ -158,8 +186,8 @@ def current_windows(
     first slide of the stream.
     """
     groups = group_keys(spec, keys)
-    bounds = stream_bounds(panes, spec, keys)
-    bounded = with_bounds(panes, bounds, groups)
+    bounds = Bounds.of(stream_bounds(panes, spec, keys), groups)
+    bounded = bounds.attach(panes, groups)
     since = F.greatest(first_window_of(F.col("pane"), spec), F.col("epoch"), F.col("first_epoch"))
     until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
     lead_in_until = F.col("first_epoch") + spec.slides_per_window - 2
@@ -175,7 +203,7 @@ def current_windows(
     if spec.emit_empty:
         everywhere = closed
         if lead_in_only:
-            everywhere = with_bounds(closed, bounds, groups).filter(F.col("e") <= lead_in_until)
+            everywhere = bounds.attach(closed, groups).filter(F.col("e") <= lead_in_until)
         spread_rows = spread_rows.unionByName(empty_windows(everywhere, spread_rows, groups))
     merged = spread_rows.groupBy(*groups, "w").agg(F.sum("n").alias("n"), *merges(aggs))
     merged = merged.withColumn("e", F.col("w"))
@@ -202,9 +230,10 @@ def window_versions(
     groups = group_keys(spec, keys)
     if bounds is None:
         bounds = stream_bounds(panes, spec, keys)
+    bounds = Bounds.of(bounds, groups)
     if epochs is None:
         epochs = stream_epochs(panes, spec, keys)
-    bounded = with_bounds(panes, bounds, groups).filter(
+    bounded = bounds.attach(panes, groups).filter(
         (F.col("epoch") <= last_epoch(spec)) & (F.col("emit_from") <= last_epoch(spec))
     )
     # Windows further back than the allowed lateness cannot change in the epochs to be emitted.
@@ -225,7 +254,7 @@ def window_versions(
         changes = changes.unionByName(empty_windows(closed, changes, groups))
     # Grouping and running merge both work inside a (key, window), so one shuffle serves both.
     merged = (
-        changes.repartition(*groups, "w")
+        changes.repartition(shuffle_partitions(panes), *groups, "w")
         .groupBy(*groups, "w", "e")
         .agg(F.max("emit_from").alias("emit_from"), F.sum("n").alias("n"), *merges(aggs))
     )
@@ -246,8 +275,8 @@ def final_windows(
 ) -> DataFrame:
     """The last version of each closed window, in one aggregation without the versions between."""
     groups = group_keys(spec, keys)
-    bounds = stream_bounds(panes, spec, keys)
-    bounded = with_bounds(panes, bounds, groups).filter(F.col("epoch") <= last_epoch(spec))
+    bounds = Bounds.of(stream_bounds(panes, spec, keys), groups)
+    bounded = bounds.attach(panes, groups).filter(F.col("epoch") <= last_epoch(spec))
     since = F.greatest(first_window_of(F.col("pane"), spec), F.col("first_epoch"))
     until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
     spread_rows = spread(bounded, spec, groups, since, until).select(

@@ -11,15 +11,25 @@ EPOCH_MS = "epoch_ms"
 DOCUMENTED_PATTERN = "yyyy.M.d HH:mm:ss"
 
 
+# How the files of a batch read follow each other.
+FILE_ORDER = {"time": ["_mtime", "_path"], "path": ["_path"]}
+
+
 def read_lines(
-    spark: SparkSession, source: str = "text", *, streaming: bool = True, **options: str
+    spark: SparkSession,
+    source: str = "text",
+    *,
+    streaming: bool = True,
+    file_order: str = "time",
+    **options: str,
 ) -> DataFrame:
     """Lines as ``value STRING`` (plus ``seq`` where the source knows the arrival order).
 
     ``text`` takes ``path``; ``socket`` takes ``host`` and ``port`` (streaming only); ``kafka``
     takes its usual options and uses the record offset as ``seq``, which orders one partition:
     give a single-partition topic, or key by ``partition`` so each partition is its own stream.
-    Batch text files are numbered in (modification time, path, position) order.
+    Batch text files are numbered by line, file after file in ``file_order``: modification
+    ``time`` (as a file stream takes them) or ``path``.
     """
     if source == "socket" and not streaming:
         raise ValueError("the socket source only exists as a stream")
@@ -30,18 +40,18 @@ def read_lines(
             F.col("offset").alias("seq"), F.col("partition"), F.col("value").cast("string")
         )
     if source == "text" and not streaming:
-        return number_lines(lines)
+        return number_lines(lines, file_order)
     return lines.select("value")
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame, file_order: str = "time") -> DataFrame:
     """Add ``seq``, the line number over all files, without moving the lines.
 
     Lines are counted per file split; split offsets are prefix sums over the split table, which
     has one row per split of the input, and are joined back. Within a split, Spark's own
     increasing id gives the position.
     """
-    split = ["_mtime", "_path", "_start"]
+    split = [*FILE_ORDER[file_order], "_start"]
     numbered = lines.select(
         "value",
         F.col("_metadata.file_modification_time").alias("_mtime"),
