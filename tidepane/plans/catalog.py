@@ -75,7 +75,7 @@ def shown(agg: Aggregate) -> Aggregate:
 
 
 def magnitude(product: Column) -> Column:
-    return F.when(product > 0, F.floor(F.log10(product)))
+    return F.when(product > 0, F.floor(F.log10(product))).otherwise(0)
 
 
 def windows(run, agg_list, spec=SPEC, keys=(), **options) -> Query:
@@ -277,8 +277,8 @@ def oracle_sql() -> dict[str, str]:
         "current_product": sql.versions_sql(
             SPEC, [], which="current", extra_states=["prod"],
             extra={
-                "magnitude": "CASE WHEN prod > 0 THEN CAST(floor(log10(prod)) AS BIGINT) END",
-                "mantissa": "CASE WHEN prod > 0 THEN round(prod / pow(10.0, floor(log10(prod))), 6) END",
+                "magnitude": "CASE WHEN prod > 0 THEN CAST(floor(log10(prod)) AS BIGINT) ELSE 0 END",
+                "mantissa": "CASE WHEN prod > 0 THEN round(prod / pow(10.0, floor(log10(prod))), 6) ELSE 0.0 END",
             },
         ),
         "current_custom_agg": sql.versions_sql(SPEC, ["large_share"], which="current"),
