@@ -7,9 +7,9 @@ from brute import brute_force, expected
 
 from tidepane import (
     AVG, COUNT, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, WindowSpec,
-    sliding_current, sliding_final, sliding_revised, sliding_versions,
+    sliding_current, sliding_final, sliding_panes, sliding_revised, sliding_versions,
 )
-from tidepane.operators import accepted, dropped, with_progress
+from tidepane.operators import accepted, dropped, window_versions, with_progress
 from tidepane.sources import arrivals
 
 ALL = [MIN, MAX, SUM, AVG, STD, RANGE, COUNT, SUMSQ, PRODUCT, GEOMEAN]
@@ -166,24 +166,36 @@ def test_versions_equal_brute_force(spark, case):
     assert {r["window_end"]: (r["n"], r["sum"]) for r in final} == last
 
 
-def test_keys_with_null_and_hot_key(spark):
-    spec = WindowSpec.of("32 s", "2 s", "24 s", origin="first")
+# Splitting nothing, only the hot key, and (two hot keys but one may be broadcast) every key.
+@pytest.mark.parametrize("hot_rows,hot_keys", [(10**6, 10), (100, 10), (50, 1)])
+@pytest.mark.parametrize("origin", ["first", "epoch"])
+def test_keys_with_null_and_hot_key(spark, origin, hot_rows, hot_keys, monkeypatch):
+    from tidepane.operators import running
+
+    monkeypatch.setattr(running.find_hot_keys, "__defaults__", (hot_rows, hot_keys))
+    spec = WindowSpec.of("32 s", "2 s", "24 s", origin=origin)
     by_key = {"hot": random_rows(1, 500), "b": random_rows(2, 60), None: random_rows(3, 60)}
     rows = [(*row, key) for key, part in by_key.items() for row in part]
-    frame = make(spark, rows, keyed=True)
-    got = sliding_versions(frame, spec, [SUM], ["k"]).collect()
+    frame = make(spark, rows, keyed=True).repartition(6)
+    got = sliding_panes_then_versions(frame, spec, hot_rows)
     for key, part in by_key.items():
-        want, _ = brute_force(part, spec.window_ms, spec.slide_ms, spec.lateness_ms, "first")
-        origin = part[0][1]
+        start = part[0][1] if origin == "first" else 0
+        want, _ = brute_force(part, spec.window_ms, spec.slide_ms, spec.lateness_ms, start)
         assert {
-            (ms(r["window_end"]), ms(r["epoch_end"])): (r["n"], pytest.approx(r["sum"], abs=1e-7), ms(r["emitted_at"]))
+            (ms(r["window_end"]), ms(r["epoch_end"])):
+                (r["n"], pytest.approx(r["sum"], abs=1e-7), ms(r["emitted_at"]))
             for r in got if r["k"] == key
         } == {
-            (origin + (w + 1) * 2000, origin + (e + 1) * 2000): (len(values), sum(values), at)
+            (start + (w + 1) * 2000, start + (e + 1) * 2000): (len(values), sum(values), at)
             for (w, e), (values, at) in want.items()
         }
 
 
+def sliding_panes_then_versions(frame, spec, hot_rows):
+    panes = sliding_panes(frame, spec, [SUM], ["k"], bits=4, hot_rows=hot_rows)
+    return window_versions(panes, spec, [SUM], ["k"]).collect()
+
+
 @pytest.mark.parametrize("bits,levels", [(1, 1), (3, 2), (2, 3), (16, 0)])
 def test_bucketed_progress_equals_plain_running_max(spark, bits, levels):
     rows = random_rows(11, 400)

@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.slides import ORIGIN, slide_of
-from tidepane.operators.running import BUCKET_BITS, LEVELS, running_extreme
+from tidepane.operators.running import (
+    BUCKET_BITS,
+    HOT_ROWS,
+    LEVELS,
+    carry_first,
+    carry_max,
+    find_hot_keys,
+    running_extreme,
+)
 from tidepane.sources.arrivals import SEQ, TS
 from tidepane.spec import WindowSpec
 
-FIRST = "_first"
+START = "_start_ms"
 
 
 def with_progress(
@@ -22,30 +30,34 @@ def with_progress(
     *,
     heads: DataFrame | None = None,
     bits: int = BUCKET_BITS,
-    levels: int = LEVELS,
+    levels: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``progress_ms`` (running max of event time by arrival), ``lateness_ms``, ``slide``
     (where the row belongs) and ``epoch`` (the slide that was open when it arrived).
 
     With ``origin='first'`` the key's first event time is added as ``origin_ms``. ``heads`` holds
     ``keys, progress_ms[, origin_ms]`` reached by an earlier part of the stream.
+
+    Without keys the stream is cut into arrival buckets (see :func:`running_extreme`); with keys,
+    those with more than ``hot_rows`` rows are. Giving ``levels`` fixes the number of bucket
+    levels for all keys instead and saves the count.
     """
-    carries = {"progress_ms": (TS, F.max)}
+    hot = None
+    if levels is None:
+        levels, hot = find_hot_keys(rows, keys, hot_rows) if keys else (LEVELS, None)
+    carries = {"progress_ms": carry_max(TS)}
     seeds = heads
-    if spec.origin_from_data:
-        rows = rows.withColumn(FIRST, F.struct(F.col(SEQ), F.col(TS).alias("at")))
-        carries["_origin"] = (FIRST, F.min)
     if seeds is not None:
         seeds = seeds.withColumn(TS, F.col("progress_ms"))
-        if spec.origin_from_data:
-            # A NULL seq sorts before every real one, so the known origin always wins.
-            before_all = F.lit(None).cast("long").alias(SEQ)
-            seeds = seeds.withColumn(FIRST, F.struct(before_all, F.col(ORIGIN).alias("at")))
-    reached = running_extreme(
-        rows, SEQ, carries, keys, seeds=seeds, bits=bits, levels=levels
-    )
     if spec.origin_from_data:
-        reached = reached.withColumn(ORIGIN, F.col("_origin")["at"]).drop(FIRST, "_origin")
+        rows = rows.withColumn(START, F.col(TS))
+        carries[ORIGIN] = carry_first(START)
+        if seeds is not None:
+            seeds = seeds.withColumn(START, F.col(ORIGIN))
+    reached = running_extreme(
+        rows, SEQ, carries, keys, seeds=seeds, bits=bits, levels=levels, hot=hot
+    ).drop(START)
     return reached.withColumns({
         "lateness_ms": F.col("progress_ms") - F.col(TS),
         "slide": slide_of(F.col(TS), spec),

@@ -3,15 +3,73 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepane.sources.shared import stage
+
 BUCKET_BITS = 16
 LEVELS = 2
+# A key with more rows than this is cut into buckets; others are ordered as a whole in one task.
+HOT_ROWS = 1 << 22
+# The largest number of hot keys that is broadcast.
+HOT_KEYS = 100_000
+
+
+@dataclass(frozen=True)
+class Carry:
+    """What is carried along the order: how a bucket folds it and how a window continues it."""
+
+    column: str
+    fold: Callable[[Column, Column], Column]
+    over: Callable[[Column], Column]
+
+
+def carry_max(column: str) -> Carry:
+    return Carry(column, lambda value, order: F.max(value), F.max)
+
+
+def carry_min(column: str) -> Carry:
+    return Carry(column, lambda value, order: F.min(value), F.min)
+
+
+def carry_first(column: str) -> Carry:
+    return Carry(column, F.min_by, lambda value: F.first(value, ignorenulls=True))
 
-Carry = tuple[str, Callable[[Column], Column]]
+
+def null_safe(names: Sequence[str], prefix: str) -> Column:
+    """Equality of all ``names`` with their prefixed copies; NULL equals NULL."""
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & F.col(name).eqNullSafe(F.col(prefix + name))
+    return condition
+
+
+def mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_hot``; the caller has checked that ``hot`` is small enough to broadcast."""
+    listed = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    return df.join(F.broadcast(listed), null_safe(keys, "_h_"), "left").drop(
+        *[f"_h_{k}" for k in keys]
+    )
+
+
+def find_hot_keys(
+    rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
+) -> tuple[int, DataFrame | None]:
+    """Levels of buckets a keyed stream needs, and which keys to cut (None: all of them).
+
+    Keys are counted exactly, with map-side combine. No hot key: no buckets. A few: only those are
+    cut. More than can be broadcast: every key is.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = stage(counts.filter(F.col("_rows") > hot_rows).select(*keys), "hot-keys")
+    found = hot.count()
+    if found == 0:
+        return 0, None
+    return LEVELS, hot if found <= hot_keys else None
 
 
 def running_extreme(
@@ -24,45 +82,58 @@ def running_extreme(
     seeds: DataFrame | None = None,
     bits: int = BUCKET_BITS,
     levels: int = LEVELS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``out = fn(column)`` over all rows of the key up to this one in ``order``, per carry.
+    """Add ``out``, the carried value over all rows of the key up to this one, per carry.
 
-    ``carries`` maps ``out`` to ``(column, F.max | F.min)``; ``order`` is BIGINT and not null.
-    ``inclusive=False`` leaves the row itself out. ``seeds`` has ``keys`` and the carried columns
-    and stands before the first row of its key.
+    ``order`` is BIGINT, not null and unique per key. ``inclusive=False`` leaves the row itself
+    out. ``seeds`` has ``keys`` and the carried columns and stands before the first row of its key.
 
     A plain window would put a whole key, or without keys the whole stream, into one task. Here
-    rows are cut into buckets of ``2**bits`` consecutive order values, so no task sorts a larger
-    group, hot key or not. The extreme of everything before a bucket comes from the same function
-    applied to the bucket table, one level up, and enters the bucket as a marker row that sorts
-    first. Every row is shuffled and sorted once; ``levels`` bounds the topmost table.
+    rows are cut into buckets of ``2**bits`` consecutive order values, so no task has to sort a
+    larger group. What is carried into a bucket comes from the same function applied to the
+    bucket table, one level up, and enters as a marker row that sorts first. Rows are shuffled and
+    sorted once; ``levels`` bounds the topmost table. With ``hot`` only those keys are cut.
     """
-    marker_columns = list(dict.fromkeys(column for column, _ in carries.values()))
+    columns = list(dict.fromkeys(carry.column for carry in carries.values()))
+    if seeds is not None:
+        seeds = seeds.select(*keys, *columns)
     if levels == 0:
-        group, rows, bucket = list(keys), df, None
-        if seeds is not None:
-            rows = df.unionByName(seeds.select(*keys, *marker_columns), allowMissingColumns=True)
+        group, helpers = list(keys), []
+        rows = df if seeds is None else df.unionByName(seeds, allowMissingColumns=True)
     else:
         bucket = f"_bucket{levels}"
-        group = [*keys, bucket]
-        bucketed = df.withColumn(bucket, F.shiftright(F.col(order), bits))
-        extremes = bucketed.groupBy(*group).agg(
-            *[fn(F.col(column)).alias(column) for column, fn in carries.values()]
+        group, helpers = [*keys, bucket], [bucket]
+        number = F.shiftright(F.col(order), bits)
+        cut, cut_seeds, whole_seeds = df, seeds, None
+        if hot is not None:
+            df = mark_hot(df, hot, keys)
+            number, cut = F.when(F.col("_hot"), number), df.filter("_hot")
+            helpers.append("_hot")
+            if seeds is not None:
+                marked = mark_hot(seeds, hot, keys)
+                cut_seeds, whole_seeds = marked.filter("_hot"), marked.filter("_hot IS NULL")
+        bucketed = df.withColumn(bucket, number)
+        folded = cut.withColumn(bucket, F.shiftright(F.col(order), bits)).groupBy(*group).agg(
+            *[c.fold(F.col(c.column), F.col(order)).alias(c.column) for c in carries.values()]
         )
         before = running_extreme(
-            extremes, bucket, carries, keys,
-            inclusive=False, seeds=seeds, bits=bits, levels=levels - 1,
+            folded, bucket, carries, keys,
+            inclusive=False, seeds=cut_seeds, bits=bits, levels=levels - 1,
         )
         markers = before.select(
-            *group, *[F.col(out).alias(column) for out, (column, _) in carries.items()]
+            *group, *[F.col(out).alias(carry.column) for out, carry in carries.items()]
         )
         rows = bucketed.unionByName(markers, allowMissingColumns=True)
+        if whole_seeds is not None:
+            rows = rows.unionByName(whole_seeds, allowMissingColumns=True)
     frame = (
         W.partitionBy(*group)
         .orderBy(F.col(order).asc_nulls_first())
         .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     )
-    result = rows.withColumns(
-        {out: fn(F.col(column)).over(frame) for out, (column, fn) in carries.items()}
-    ).filter(F.col(order).isNotNull())
-    return result.drop(bucket) if bucket else result
+    return (
+        rows.withColumns({out: c.over(F.col(c.column)).over(frame) for out, c in carries.items()})
+        .filter(F.col(order).isNotNull())
+        .drop(*helpers)
+    )

@@ -18,7 +18,7 @@ from tidepane.functions.slides import (
     window_start,
 )
 from tidepane.operators.panes import group_keys
-from tidepane.operators.running import running_extreme
+from tidepane.operators.running import carry_min, null_safe, running_extreme
 from tidepane.spec import WindowSpec
 
 BOUNDS = ("first_epoch", "emit_from", "open_epoch")
@@ -46,11 +46,7 @@ def stream_epochs(panes: DataFrame, spec: WindowSpec, keys: Sequence[str] = ())
 def match_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
     """Equi-join that also matches NULL keys, since a NULL key is a stream like any other."""
     renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
-    condition = None
-    for name in names:
-        same = F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition, how).drop(*[f"_r_{name}" for name in names])
+    return left.join(renamed, null_safe(names, "_r_"), how).drop(*[f"_r_{name}" for name in names])
 
 
 @dataclass(frozen=True)
@@ -98,7 +94,7 @@ def closings(
     turned = epochs.withColumn("_turned", -F.col("epoch"))
     followed = running_extreme(
         turned, "_turned",
-        {"_next": ("epoch", F.min), "emitted_at_ms": ("opened_ms", F.min)},
+        {"_next": carry_min("epoch"), "emitted_at_ms": carry_min("opened_ms")},
         groups, inclusive=False, levels=0 if bounds.epochs_at_most(ONE_TASK_EPOCHS) else 1,
     )
     limited = bounds.attach(followed, groups).filter(F.col("epoch") <= last_epoch(spec))

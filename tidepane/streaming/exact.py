@@ -38,11 +38,14 @@ class ExactStream:
         *,
         state_dir: str,
         out_dir: str,
+        progress_levels: int = 1,
     ) -> None:
         if spec.flush:
             raise ValueError("a stream never closes its open slide; flush is for batch input")
         self.spec, self.aggs, self.keys = spec, list(aggs), list(keys)
         self.groups = group_keys(spec, keys)
+        # One level of arrival buckets is enough for what a single micro-batch holds.
+        self.progress_levels = progress_levels
         self.state_dir, self.out_dir = state_dir.rstrip("/"), out_dir.rstrip("/")
 
     def start(self, arrivals: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
@@ -71,7 +74,9 @@ class ExactStream:
                     f"state in {before} is of batch {found['batch_id']}, not {batch_id - 1}"
                 )
 
-        progressed = with_progress(rows, self.spec, self.keys, heads=old_heads)
+        progressed = with_progress(
+            rows, self.spec, self.keys, heads=old_heads, levels=self.progress_levels
+        )
         arrived = stage(
             build_panes(accepted(progressed, self.spec), self.spec, self.aggs, self.keys),
             "arrived", f"{slot}/arrived",
