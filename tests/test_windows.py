@@ -9,7 +9,7 @@ from tidepane import (
     AVG, COUNT, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, WindowSpec,
     sliding_current, sliding_final, sliding_panes, sliding_revised, sliding_versions,
 )
-from tidepane.operators import accepted, dropped, window_versions, with_progress
+from tidepane.operators import accepted, dropped, intervals, window_versions, with_progress
 from tidepane.sources import arrivals
 
 ALL = [MIN, MAX, SUM, AVG, STD, RANGE, COUNT, SUMSQ, PRODUCT, GEOMEAN]
@@ -128,8 +128,10 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("case", range(len(CASES)))
-def test_versions_equal_brute_force(spark, case):
+# Each case with states merged over intervals (0), some also with states copied to windows.
+@pytest.mark.parametrize("case,copy_width", [*((c, 0) for c in range(len(CASES))), (1, 64), (2, 64), (4, 64)])
+def test_versions_equal_brute_force(spark, case, copy_width, monkeypatch):
+    monkeypatch.setattr(intervals, "COPY_WIDTH", copy_width)
     spec, count = CASES[case]
     rows = random_rows(case, count)
     want, late = brute_force(

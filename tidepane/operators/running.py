@@ -14,7 +14,7 @@ from tidepane.sources.shared import stage
 BUCKET_BITS = 16
 LEVELS = 2
 # A key with more rows than this is cut into buckets; others are ordered as a whole in one task.
-HOT_ROWS = 1 << 22
+HOT_ROWS = 1 << 20
 # The largest number of hot keys that is broadcast.
 HOT_KEYS = 100_000
 

@@ -9,24 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepane.functions.aggregates import Aggregate, merges, state_of
-from tidepane.functions.slides import (
-    first_window_of,
-    floor_div,
-    last_window_of,
-    slide_end,
-    window_start,
+from tidepane.functions.aggregates import Aggregate, state_of
+from tidepane.functions.slides import first_window_of, last_window_of, slide_end, window_start
+from tidepane.operators import intervals
+from tidepane.operators.intervals import (
+    Folds,
+    copied_over_intervals,
+    merge_over_intervals,
+    shuffle_partitions,
 )
 from tidepane.operators.panes import group_keys
 from tidepane.operators.running import carry_min, null_safe, running_extreme
 from tidepane.spec import WindowSpec
 
 BOUNDS = ("first_epoch", "emit_from", "open_epoch")
-# Slides handled by one task per block, in windows. Spreading panes over their windows inside a
-# block repeats (1 + 1/BLOCK_WINDOWS) windows per slide across block borders.
-BLOCK_WINDOWS = 4
 # Up to this many epochs of one global stream are ordered in a single task.
 ONE_TASK_EPOCHS = 1 << 16
+# Slides filled in by one row of a dense result.
+FILL = 4096
 
 
 def stream_bounds(panes: DataFrame, spec: WindowSpec, keys: Sequence[str] = ()) -> DataFrame:
@@ -102,34 +102,28 @@ def closings(
     if not dense:
         until = F.least(until, F.col("epoch") + spec.slides_per_window)
     since = F.greatest(F.col("epoch"), F.col("emit_from"))
-    return limited.filter(since <= until).select(
-        *groups, F.explode(F.sequence(since, until)).alias("e"), "emitted_at_ms"
+    spans = limited.select(
+        *groups, "emitted_at_ms", since.alias("_since"), until.alias("_until")
+    ).filter(F.col("_since") <= F.col("_until"))
+    if dense:
+        # A gap can be long: cut it into pieces first, which other tasks can fill.
+        spans = (
+            spans.withColumn("_since", F.explode(F.sequence("_since", "_until", F.lit(FILL))))
+            .withColumn("_until", F.least("_until", F.col("_since") + FILL - 1))
+            .repartition(shuffle_partitions(epochs))
+        )
+    return spans.select(
+        *groups, F.explode(F.sequence("_since", "_until")).alias("e"), "emitted_at_ms"
     )
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def window_folds(aggs: Iterable[Aggregate]) -> Folds:
+    """How the columns of a window merge: its row count and its states."""
+    return {"n": F.sum, **{name: part.merge for name, (_, part) in state_of(aggs).items()}}
 
 
-def spread(
-    panes: DataFrame, spec: WindowSpec, groups: Sequence[str], since: Column, until: Column
-) -> DataFrame:
-    """One row per (pane, window ``w``) for the windows from ``since`` to ``until``.
-
-    Panes are first brought together by block of neighbouring slides, so that the aggregation
-    after the explode combines inside the task: one pane row is shuffled instead of one row per
-    window it belongs to. A block is bounded by slides, not rows, so no key can make it large.
-    """
-    width = BLOCK_WINDOWS * spec.slides_per_window
-    blocked = panes.withColumns({"_since": since, "_until": until}).filter(
-        F.col("_since") <= F.col("_until")
-    )
-    blocked = blocked.withColumn("_block", floor_div(F.col("_since"), width))
-    return (
-        blocked.repartition(shuffle_partitions(panes), *groups, "_block")
-        .withColumn("w", F.explode(F.sequence("_since", "_until")))
-        .drop("_since", "_until")
-    )
+def fold_columns(folds: Folds) -> list[Column]:
+    return [fold(F.col(name)).alias(name) for name, fold in folds.items()]
 
 
 def empty_windows(closed: DataFrame, like: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -166,6 +160,33 @@ def present(
     return merged.select(*columns, "n", *[agg.result() for agg in aggs])
 
 
+def one_version(
+    panes: DataFrame,
+    spec: WindowSpec,
+    aggs: Sequence[Aggregate],
+    keys: Sequence[str],
+    since: Column,
+    until: Column,
+    emitted_at: bool,
+    empty_until: Column,
+) -> DataFrame:
+    """One row per window, from the panes that count for it between ``since`` and ``until``."""
+    groups, folds = group_keys(spec, keys), window_folds(aggs)
+    bounds = Bounds.of(stream_bounds(panes, spec, keys), groups)
+    parts = merge_over_intervals(
+        bounds.attach(panes, groups), groups, since, until, spec.slides_per_window, folds, "w"
+    )
+    closed = None
+    if emitted_at or spec.emit_empty:
+        epochs = stream_epochs(panes, spec, keys)
+        closed = closings(epochs, bounds, spec, groups, dense=spec.emit_empty)
+    if spec.emit_empty:
+        everywhere = bounds.attach(closed, groups).filter(F.col("e") <= empty_until)
+        parts = parts.unionByName(empty_windows(everywhere, parts, groups))
+    merged = parts.groupBy(*groups, "w").agg(*fold_columns(folds)).withColumn("e", F.col("w"))
+    return present(merged, spec, aggs, keys, closed if emitted_at else None, kind=None)
+
+
 def current_windows(
     panes: DataFrame,
     spec: WindowSpec,
@@ -181,29 +202,51 @@ def current_windows(
     needs no part in this plan. ``lead_in_only`` keeps the windows that reach back before the
     first slide of the stream.
     """
-    groups = group_keys(spec, keys)
-    bounds = Bounds.of(stream_bounds(panes, spec, keys), groups)
-    bounded = bounds.attach(panes, groups)
     since = F.greatest(first_window_of(F.col("pane"), spec), F.col("epoch"), F.col("first_epoch"))
-    until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
-    lead_in_until = F.col("first_epoch") + spec.slides_per_window - 2
+    newest = last_epoch(spec)
     if lead_in_only:
-        until = F.least(until, lead_in_until)
-    spread_rows = spread(bounded, spec, groups, since, until).select(
-        *groups, "w", "n", *state_of(aggs)
-    )
-    closed = None
-    if emitted_at or spec.emit_empty:
-        epochs = stream_epochs(panes, spec, keys)
-        closed = closings(epochs, bounds, spec, groups, dense=spec.emit_empty)
-    if spec.emit_empty:
-        everywhere = closed
-        if lead_in_only:
-            everywhere = bounds.attach(closed, groups).filter(F.col("e") <= lead_in_until)
-        spread_rows = spread_rows.unionByName(empty_windows(everywhere, spread_rows, groups))
-    merged = spread_rows.groupBy(*groups, "w").agg(F.sum("n").alias("n"), *merges(aggs))
-    merged = merged.withColumn("e", F.col("w"))
-    return present(merged, spec, aggs, keys, closed if emitted_at else None, kind=None)
+        newest = F.least(newest, F.col("first_epoch") + spec.slides_per_window - 2)
+    until = F.least(last_window_of(F.col("pane"), spec), newest)
+    return one_version(panes, spec, aggs, keys, since, until, emitted_at, newest)
+
+
+def final_windows(
+    panes: DataFrame, spec: WindowSpec, aggs: Sequence[Aggregate], keys: Sequence[str] = ()
+) -> DataFrame:
+    """The last version of each closed window, in one aggregation without the versions between."""
+    closed = F.col("epoch") <= last_epoch(spec)
+    since = F.when(closed, F.greatest(first_window_of(F.col("pane"), spec), F.col("first_epoch")))
+    until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
+    return one_version(panes, spec, aggs, keys, since, until, False, last_epoch(spec))
+
+
+def window_changes(
+    panes: DataFrame,
+    spec: WindowSpec,
+    groups: Sequence[str],
+    since: Column,
+    until: Column,
+    folds: Folds,
+) -> DataFrame:
+    """What each epoch ``e`` adds to each window ``w``; a pane counts from its own epoch on and
+    revises the windows that were closed before."""
+    width = spec.slides_per_window
+    if width <= intervals.COPY_WIDTH:
+        copies = copied_over_intervals(panes, groups, since, until, width, "w")
+        return (
+            copies.withColumn("e", F.greatest("w", "epoch"))
+            .groupBy(*groups, "_block", "w", "e").agg(*fold_columns(folds)).drop("_block")
+        )
+    on_time = merge_over_intervals(
+        panes, groups, F.greatest(since, "epoch"), until, width, folds, "w"
+    ).withColumn("e", F.col("w"))
+    # Revised windows are counted back from the epoch: 0 is the one closed last.
+    late = panes.withColumn("e", F.col("epoch"))
+    newest = F.col("epoch") - 1
+    revising = merge_over_intervals(
+        late, [*groups, "e"], F.greatest(newest - until, F.lit(0)), newest - since, width, folds, "_back"
+    ).withColumn("w", F.col("e") - 1 - F.col("_back")).drop("_back")
+    return on_time.unionByName(revising)
 
 
 def window_versions(
@@ -223,26 +266,21 @@ def window_versions(
     the version is the running merge of these changes, over the few epochs of one window.
     ``bounds`` and ``epochs`` let a streaming caller emit only what its batch has closed.
     """
-    groups = group_keys(spec, keys)
-    if bounds is None:
-        bounds = stream_bounds(panes, spec, keys)
-    bounds = Bounds.of(bounds, groups)
+    groups, folds = group_keys(spec, keys), window_folds(aggs)
+    continued = bounds is not None
+    bounds = Bounds.of(bounds if continued else stream_bounds(panes, spec, keys), groups)
     if epochs is None:
         epochs = stream_epochs(panes, spec, keys)
-    bounded = bounds.attach(panes, groups).filter(
+    if continued:
+        folds["emit_from"] = F.max
+    closed_panes = bounds.attach(panes, groups).filter(
         (F.col("epoch") <= last_epoch(spec)) & (F.col("emit_from") <= last_epoch(spec))
     )
     # Windows further back than the allowed lateness cannot change in the epochs to be emitted.
     oldest = F.greatest(F.col("first_epoch"), F.col("emit_from") - spec.retained_slides)
     since = F.greatest(first_window_of(F.col("pane"), spec), oldest)
     until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
-    changes = (
-        spread(bounded, spec, groups, since, until)
-        .withColumn("e", F.greatest("w", "epoch"))
-        .groupBy(*groups, "_block", "w", "e")
-        .agg(F.max("emit_from").alias("emit_from"), F.sum("n").alias("n"), *merges(aggs))
-        .drop("_block")
-    )
+    changes = window_changes(closed_panes, spec, groups, since, until, folds)
     closed = None
     if emitted_at or spec.emit_empty:
         closed = closings(epochs, bounds, spec, groups, dense=spec.emit_empty)
@@ -252,34 +290,15 @@ def window_versions(
     merged = (
         changes.repartition(shuffle_partitions(panes), *groups, "w")
         .groupBy(*groups, "w", "e")
-        .agg(F.max("emit_from").alias("emit_from"), F.sum("n").alias("n"), *merges(aggs))
+        .agg(*fold_columns(folds))
     )
     so_far = W.partitionBy(*groups, "w").orderBy("e").rowsBetween(W.unboundedPreceding, 0)
     versions = merged.withColumns({
-        "n": F.sum("n").over(so_far),
-        **{
-            name: part.merge(F.col(name)).over(so_far)
-            for name, (_, part) in state_of(aggs).items()
-        },
-    }).filter(F.col("emit_from").isNull() | (F.col("e") >= F.col("emit_from")))
+        name: fold(F.col(name)).over(so_far) for name, fold in folds.items()
+    })
+    if continued:
+        versions = versions.filter(
+            F.col("emit_from").isNull() | (F.col("e") >= F.col("emit_from"))
+        )
     kind = F.when(F.col("e") == F.col("w"), F.lit("current")).otherwise(F.lit("revised"))
     return present(versions, spec, aggs, keys, closed if emitted_at else None, kind)
-
-
-def final_windows(
-    panes: DataFrame, spec: WindowSpec, aggs: Sequence[Aggregate], keys: Sequence[str] = ()
-) -> DataFrame:
-    """The last version of each closed window, in one aggregation without the versions between."""
-    groups = group_keys(spec, keys)
-    bounds = Bounds.of(stream_bounds(panes, spec, keys), groups)
-    bounded = bounds.attach(panes, groups).filter(F.col("epoch") <= last_epoch(spec))
-    since = F.greatest(first_window_of(F.col("pane"), spec), F.col("first_epoch"))
-    until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
-    spread_rows = spread(bounded, spec, groups, since, until).select(
-        *groups, "w", "n", *state_of(aggs)
-    )
-    if spec.emit_empty:
-        closed = closings(stream_epochs(panes, spec, keys), bounds, spec, groups, dense=True)
-        spread_rows = spread_rows.unionByName(empty_windows(closed, spread_rows, groups))
-    merged = spread_rows.groupBy(*groups, "w").agg(F.sum("n").alias("n"), *merges(aggs))
-    return present(merged.withColumn("e", F.col("w")), spec, aggs, keys, None, kind=None)
