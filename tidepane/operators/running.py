@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,6 +17,8 @@ LEVELS = 2
 HOT_ROWS = 1 << 20
 # The largest number of hot keys that is broadcast.
 HOT_KEYS = 100_000
+# With a larger share of rows in hot keys than this, all keys are cut.
+MOSTLY_HOT = 0.9
 
 
 @dataclass(frozen=True)
@@ -61,15 +63,25 @@ def find_hot_keys(
 ) -> tuple[int, DataFrame | None]:
     """Levels of buckets a keyed stream needs, and which keys to cut (None: all of them).
 
-    Keys are counted exactly, with map-side combine. No hot key: no buckets. A few: only those are
-    cut. More than can be broadcast: every key is.
+    Keys are counted exactly, with map-side combine. No hot key: no buckets. Hot keys beside many
+    others: only those are cut. Hardly any other rows, or more hot keys than can be broadcast:
+    every key is, which spares the look-up.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = stage(counts.filter(F.col("_rows") > hot_rows).select(*keys), "hot-keys")
-    found = hot.count()
-    if found == 0:
+    is_hot = F.col("_rows") > hot_rows
+    seen = Observation()
+    counted = counts.observe(
+        seen,
+        F.sum("_rows").alias("rows"),
+        F.sum(F.when(is_hot, F.col("_rows"))).alias("hot_rows"),
+        F.sum(F.when(is_hot, 1)).alias("hot_keys"),
+    )
+    hot = stage(counted.filter(is_hot).select(*keys), "hot-keys")
+    found = seen.get
+    if not found["hot_keys"]:
         return 0, None
-    return LEVELS, hot if found <= hot_keys else None
+    cut_all = found["hot_keys"] > hot_keys or found["hot_rows"] > MOSTLY_HOT * found["rows"]
+    return LEVELS, None if cut_all else hot
 
 
 def running_extreme(
