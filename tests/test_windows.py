@@ -9,7 +9,8 @@ from tidepane import (
     AVG, COUNT, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, WindowSpec,
     sliding_current, sliding_final, sliding_panes, sliding_revised, sliding_versions,
 )
-from tidepane.operators import accepted, dropped, intervals, window_versions, with_progress
+from tidepane.plans.native import native_windows
+from tidepane.operators import accepted, dropped, intervals, window_versions, windows, with_progress
 from tidepane.sources import arrivals
 
 ALL = [MIN, MAX, SUM, AVG, STD, RANGE, COUNT, SUMSQ, PRODUCT, GEOMEAN]
@@ -132,6 +133,7 @@ CASES = [
 @pytest.mark.parametrize("case,copy_width", [*((c, 0) for c in range(len(CASES))), (1, 64), (2, 64), (4, 64)])
 def test_versions_equal_brute_force(spark, case, copy_width, monkeypatch):
     monkeypatch.setattr(intervals, "COPY_WIDTH", copy_width)
+    monkeypatch.setattr(windows, "ONE_TASK_EPOCHS", 1 if copy_width else 1 << 16)
     spec, count = CASES[case]
     rows = random_rows(case, count)
     want, late = brute_force(
@@ -232,3 +234,18 @@ def test_order_inside_an_epoch_does_not_matter(spark):
         for part in (rows, shuffled)
     ]
     assert results[0] == results[1]
+
+
+def test_without_lateness_bound_final_equals_native_window(spark):
+    spec = WindowSpec.of("33 s", "6 s", 10**9, flush=True)
+    frame = make(spark, random_rows(8, 300))
+    final = {r["window_end"]: (r["n"], round(r["sum"], 6)) for r in sliding_final(frame, spec, [SUM]).collect()}
+    timed = frame.selectExpr("timestamp_millis(ts_ms) AS ts", "value")
+    native = {
+        r["window_end"]: (r["n"], round(r["sum"], 6))
+        for r in native_windows(timed, spec, [SUM]).collect()
+    }
+    assert final == {end: native[end] for end in native if min(final) <= end <= max(final)}
+    rows = random_rows(8, 300)
+    assert ms(min(final)) == (rows[0][1] // 6000 + 1) * 6000
+    assert ms(max(final)) == (max(ts for _, ts, _ in rows) // 6000 + 1) * 6000

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidepane.functions.aggregates import (
     AVG, COUNT, COUNT_STATE, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, Aggregate, Partial,
@@ -28,6 +29,7 @@ from tidepane.streaming import ExactStream, latest, start_upsert_feed, upsert_fe
 Query = Callable[[SparkSession, str], DataFrame]
 
 SPEC = WindowSpec.of("32 min", "2 min", "24 min")
+LONG = WindowSpec.of("5 h 20 min", "2 min", "24 min")
 UNEVEN = WindowSpec.of("33 min", "6 min", "24 min")
 STREAM_BATCHES = 4
 
@@ -143,7 +145,7 @@ def line_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the stream as text files, read them back numbered by line, and aggregate."""
     path = fresh_path(spark, "lines")
     stamped = events(spark, sf_dir).select("event_id", disordered_ms().alias("ms"), "value")
-    ordered = stamped.repartitionByRange(STREAM_BATCHES, "event_id").sortWithinPartitions("event_id")
+    ordered = stamped.repartitionByRange("event_id").sortWithinPartitions("event_id")
     ordered.select(F.concat_ws(",", "ms", "value")).write.text(path)
     lines = parse_lines(read_lines(spark, "text", streaming=False, file_order="path", path=path))
     rows = arrivals(lines, values={"value": F.col("value").cast("decimal(18,2)")})
@@ -171,28 +173,32 @@ def native_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native_windows(rows, SPEC, [shown(SUM), shown(STD)])
 
 
-def stream_of_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Replay rows as a file stream: one range of arrivals after the other, one per micro-batch."""
+def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Feed rows to a streaming job in ranges of arrivals, one micro-batch each.
+
+    Every range is written by as many tasks as it was read by. The job is started anew for each
+    one and goes on from its checkpoint.
+    """
     path = fresh_path(spark, "feed")
     last = rows.agg(F.max("seq")).first()[0] or 0
     step = -(-(last + 1) // STREAM_BATCHES)
-    for start in range(0, last + 1, step):
-        part = rows.filter((F.col("seq") >= start) & (F.col("seq") < start + step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    )
+    for low in range(0, last + 1, step):
+        part = rows.filter((F.col("seq") >= low) & (F.col("seq") < low + step))
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 def stream_exact(keys=()) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        feed = stream_of_files(spark, load(spark, sf_dir, keys))
         base = fresh_path(spark, "exact")
         job = ExactStream(
             SPEC, [shown(a) for a in (SUM, STD, RANGE)], keys,
             state_dir=f"{base}/state", out_dir=f"{base}/out",
         )
-        job.start(feed, f"{base}/checkpoint", availableNow=True).awaitTermination()
+        replay(
+            spark, load(spark, sf_dir, keys),
+            lambda feed: job.start(feed, f"{base}/checkpoint", availableNow=True),
+        )
         return job.results(spark).drop("batch")
 
     return query
@@ -201,8 +207,12 @@ def stream_exact(keys=()) -> Query:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, in_order=True).withColumn("ts", F.timestamp_millis("ts_ms"))
     base = fresh_path(spark, "upsert")
-    feed = upsert_feed(stream_of_files(spark, rows), SPEC, [shown(SUM), shown(STD)])
-    start_upsert_feed(feed, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
+
+    def start(feed: DataFrame) -> StreamingQuery:
+        changes = upsert_feed(feed, SPEC, [shown(SUM), shown(STD)])
+        return start_upsert_feed(changes, f"{base}/out", f"{base}/checkpoint", availableNow=True)
+
+    replay(spark, rows, start)
     return latest(spark.read.parquet(f"{base}/out"))
 
 
@@ -229,6 +239,9 @@ def queries() -> dict[str, Query]:
         "lead_in_windows": windows(sliding_current, [SUM, COUNT], lead_in_only=True),
         "nondivisible_window": windows(sliding_versions, [SUM, STD, RANGE], UNEVEN),
         "nondivisible_final": windows(sliding_final, [SUM, STD, RANGE], UNEVEN),
+        "long_window_versions": windows(sliding_versions, [SUM, STD, RANGE], LONG),
+        "long_window_current": windows(sliding_current, [AVG, MIN], LONG),
+        "long_window_final": windows(sliding_final, [SUM, MAX], LONG, ("event_type",)),
         "densified_windows": windows(
             sliding_versions, [SUM, COUNT, AVG], SPEC.with_options(emit_empty=True)
         ),
@@ -290,6 +303,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "nondivisible_window": sql.versions_sql(UNEVEN, ["sum", "std", "range"]),
         "nondivisible_final": sql.versions_sql(UNEVEN, ["sum", "std", "range"], which="final"),
+        "long_window_versions": sql.versions_sql(LONG, ["sum", "std", "range"]),
+        "long_window_current": sql.versions_sql(LONG, ["avg", "min"], which="current"),
+        "long_window_final": sql.versions_sql(LONG, ["sum", "max"], key="event_type", which="final"),
         "densified_windows": sql.versions_sql(
             SPEC.with_options(emit_empty=True), ["sum", "count", "avg"]
         ),
