@@ -23,7 +23,9 @@ def native_windows(
     before aggregating. Windows are not bounded by the progress of the stream."""
     if spec.origin_from_data:
         raise ValueError("the window function needs a fixed origin")
-    start = 0 if spec.origin == "epoch" else int(spec.origin) % spec.slide_ms
+    # Windows are aligned by their ends, Spark's by their starts.
+    origin = 0 if spec.origin == "epoch" else int(spec.origin)
+    start = (origin - spec.window_ms) % spec.slide_ms
     spans = [f"{ms} milliseconds" for ms in (spec.window_ms, spec.slide_ms, start)]
     return (
         df.groupBy(*keys, F.window(F.col(ts), *spans).alias("span"))
