@@ -63,7 +63,7 @@ def test_windows_from_panes_need_two_shuffles(spark):
 
 
 def test_long_windows_shuffle_panes_not_copies(spark):
-    longer = WindowSpec.of("320 min", "2 min", "24 min")
+    longer = WindowSpec.of("12 h", "2 min", "24 min")
     panes = sliding_panes(load(spark, SMALL), longer, [SUM])
     plan = plan_of(window_versions(panes, longer, [SUM], emitted_at=False))
     # Two merges over intervals (windows closing, windows revised) and one by window.

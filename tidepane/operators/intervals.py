@@ -13,7 +13,7 @@ from tidepane.functions.slides import floor_div
 Folds = dict[str, Callable[[Column], Column]]
 
 # Up to this width a state is simply copied to its positions: sorting would cost more.
-COPY_WIDTH = 64
+COPY_WIDTH = 256
 # Width of a block of neighbouring positions when copying, in interval widths.
 COPY_BLOCK = 4
 

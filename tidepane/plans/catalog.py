@@ -29,7 +29,7 @@ from tidepane.streaming import ExactStream, latest, start_upsert_feed, upsert_fe
 Query = Callable[[SparkSession, str], DataFrame]
 
 SPEC = WindowSpec.of("32 min", "2 min", "24 min")
-LONG = WindowSpec.of("5 h 20 min", "2 min", "24 min")
+LONG = WindowSpec.of("12 h", "2 min", "24 min")
 UNEVEN = WindowSpec.of("33 min", "6 min", "24 min")
 STREAM_BATCHES = 4
 
