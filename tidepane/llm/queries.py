@@ -10,6 +10,7 @@ from tidepane.llm.decontaminate import contamination
 from tidepane.llm.exact_dedup import exact_groups
 from tidepane.llm.jaccard import jaccard_components
 from tidepane.llm.line_chunks import line_report
+from tidepane.llm.pieces import sampled_encodings
 from tidepane.llm.pii import personal_data
 from tidepane.llm.quality import quality_scores
 from tidepane.llm.suffix_dedup import suffix_dedup
@@ -30,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_encodings(load(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("ids", "ids_sha256")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
@@ -55,10 +60,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f
         for f in (
-            op1_url_graph, op2_jaccard_join, op3_toxicity, op5_exact_dedup, op6_decontaminate, op7_line_chunks,
+            op1_url_graph, op2_jaccard_join, op3_toxicity, op4_pieces, op5_exact_dedup, op6_decontaminate, op7_line_chunks,
             op8_suffix_dedup, op9_pii, op10_quality,
         )
     }
