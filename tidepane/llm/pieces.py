@@ -378,7 +378,7 @@ def _encode(broadcast, samples: int, with_ids: bool):
                 for number, (ids, log_p, inclusion) in enumerate(found, 1):
                     decoded = vocabulary.decode(ids.tolist())
                     digest = None if with_ids else hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-                    values = (row, number, len(ids), round(log_p, 6), round(inclusion, 6), ids if with_ids else digest, decoded == text)
+                    values = (row, number, len(ids), round(log_p, 6), inclusion, ids if with_ids else digest, decoded == text)
                     for column, value in zip(out, values):
                         column.append(value)
             return pa.RecordBatch.from_arrays(
