@@ -23,7 +23,13 @@ from pyspark.sql import types as T
 
 from tidepane.sources.shared import fresh_path, stage
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; small write buffers, and no space reserved ahead for files that stay small.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -52,7 +58,8 @@ def digest_state(
     """
     checkpoint = checkpoint or fresh_path(spark, "dedup-stream")
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for name, value in STATE_STORE.items():
+        session.conf.set(name, value)
     reader = session.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
