@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepane.llm.hashing import CHUNK, prefix_sums, span_hashes
+from tidepane.llm.hashing import CHUNK, mix, prefix_sums, span_hashes
 from tidepane.llm.suffix_sort import PIECE_BYTES, repeats
 from tidepane.sources.shared import stage
 
@@ -38,6 +39,8 @@ BATCH_REGIONS = 1 << 18
 HOT_ANCHOR = 256
 #: Packs a region's distance to its anchor and its number of starts into one number.
 LEAD = 1 << 12
+#: Bytes of whole shards that are looked through together before sorting.
+BUFFER_BYTES = 1 << 20
 #: Starts of one part of a divided anchor.
 PART_STARTS = 8
 
@@ -115,14 +118,26 @@ def _anchored(length: int, gram: int):
 _ANCHORED = "anchor bigint, region bigint, doc bigint, start bigint, shape int, others array<struct<doc:bigint,start:bigint>>"
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for the shuffles."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(x or b"") for x in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["doc", "doc_id", "packed"])
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]
+
+
 def _cut_out(length: int):
     """Bytes of the wanted regions of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+            for doc, text, wanted in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist()):
                 for x in wanted:
                     value = text[x["start"] : x["start"] + x["count"] + length - 1]
                     for column, y in zip(rows, (x["shard"], value, doc, x["start"])):
@@ -133,10 +148,57 @@ def _cut_out(length: int):
     return run
 
 
+def _recurring(rows: list[tuple[int, bytes, int, int]], length: int) -> Iterator[tuple[bytes, int, int]]:
+    """The parts of regions whose strings have a hash that recurs in their shard."""
+    if not rows:
+        return
+    data = np.frombuffer(b"".join([r[1] for r in rows]), dtype=np.uint8)
+    sizes = np.array([len(r[1]) for r in rows])
+    offsets = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(rows)), sizes - length + 1)
+    inner = np.arange(len(owner)) - (np.cumsum(sizes - length + 1) - (sizes - length + 1))[owner]
+    begin = offsets[owner] + inner
+    shards = mix(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    hashes = span_hashes(prefix_sums(data), begin, begin + length) ^ shards[owner]
+    _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(counts[back] > 1)
+    if not len(often):
+        return
+    new = np.concatenate([[True], (owner[often][1:] != owner[often][:-1]) | (inner[often][1:] != inner[often][:-1] + 1)])
+    cuts = np.append(np.flatnonzero(new), len(often))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        _, region, doc, start = rows[int(owner[often[a]])]
+        first = int(inner[often[a]])
+        yield region[first : first + b - a + length - 1], doc, start + first
+
+
+def _worth_sorting(rows: Iterator[tuple[int, bytes, int, int]], length: int, buffered: int) -> Iterator[tuple[bytes, int, int]]:
+    """Regions in order of their shards; whole shards within a buffer lose what cannot recur, a
+    shard that does not fit a buffer is sorted as it is."""
+    held: list[tuple[int, bytes, int, int]] = []
+    size, passing = 0, None  # the shard that passes as it is
+    for row in rows:
+        if row[0] == passing:
+            yield row[1:]
+            continue
+        passing = None
+        if size >= buffered and row[0] != held[-1][0]:
+            yield from _recurring(held, length)
+            held, size = [], 0
+        held.append(row)
+        size += len(row[1])
+        if size >= 4 * buffered:
+            passing = row[0]
+            yield from _recurring([r for r in held if r[0] != passing], length)
+            yield from (r[1:] for r in held if r[0] == passing)
+            held, size = [], 0
+    yield from _recurring(held, length)
+
+
 def _sort_shard(length: int, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((v, d, s) for b in batches for v, d, s in zip(*[b.column(i).to_pylist() for i in range(3)]))
-        for docs, starts in repeats(rows, length, piece_bytes):
+        rows = (row for b in batches for row in zip(*[b.column(i).to_pylist() for i in range(4)]))
+        for docs, starts in repeats(_worth_sorting(rows, length, BUFFER_BYTES), length, piece_bytes):
             order = np.lexsort((starts, docs))
             docs, starts = docs[order], starts[order]
             for k in range(0, len(docs), 1 << 16):
@@ -151,10 +213,15 @@ def _sort_shard(length: int, piece_bytes: int):
     return run
 
 
+def pack_texts(docs: DataFrame) -> DataFrame:
+    source = docs.select("doc", "doc_id", "text")
+    return source.mapInArrow(_packed, f"doc bigint, doc_id {source.schema['doc_id'].dataType.simpleString()}, packed binary")
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """``doc, start, count``: runs of byte positions at which a repeated string starts.
 
-    ``docs``: ``doc`` (integer, not null) and ``text`` (not null), one row per document.
+    ``docs``: ``doc`` (integer, not null), ``doc_id`` and ``text`` (not null), one row per document.
     """
     rows = docs.select("doc", "text").mapInArrow(_anchored(length, gram), _ANCHORED)
     met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where((F.col("n") > 1) | (F.size("others") > 0))
@@ -168,7 +235,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pie
     # First occurrences of different regions with one anchor.
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = first.join(several, "anchor").select("anchor", "n", "first.doc", "first.start", "shape")
-    return later.union(_sorted_shards(wanted, docs, length, piece_bytes))
+    return later.union(_sorted_shards(wanted, pack_texts(docs), length, piece_bytes))
 
 
 def _sorted_shards(wanted: DataFrame, docs: DataFrame, length: int, piece_bytes: int) -> DataFrame:
@@ -185,10 +252,10 @@ def _sorted_shards(wanted: DataFrame, docs: DataFrame, length: int, piece_bytes:
         (far - near + 1).cast("bigint").alias("count"),
     ).alias("w"))
     per_doc = dealt.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    cut = docs.join(per_doc, "doc").select("doc", "text", "wanted").mapInArrow(
+    cut = docs.join(per_doc, "doc").select("doc", "packed", "wanted").mapInArrow(
         _cut_out(length), "shard bigint, bytes binary, doc bigint, start bigint"
     )
-    return cut.repartition("shard").select("bytes", "doc", "start").mapInArrow(
+    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         _sort_shard(length, piece_bytes), "doc bigint, start bigint, count bigint"
     )
 
@@ -197,8 +264,7 @@ def _judge(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for text, runs in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                text = text or b""
+            for text, runs in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
                 spans, kept, at = 0, hashlib.sha256(), 0
                 removed = 0
                 for x in sorted((r["start"], r["start"] + r["count"] + length - 1) for r in runs or []):
@@ -228,6 +294,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piece_
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("bigint").alias("doc"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     runs = repeated_starts(keyed, length, gram, piece_bytes)
     runs = stage(runs.groupBy("doc").agg(F.collect_set(F.struct("start", "count")).alias("runs")), "suffix-runs")
-    source = keyed.join(runs, "doc", "left").select("doc_id", "text", "runs")
+    source = pack_texts(keyed).join(runs, "doc", "left").select("doc_id", "packed", "runs")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(_judge(length), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes sorted in memory at once.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def _types(text: np.ndarray) -> np.ndarray:
