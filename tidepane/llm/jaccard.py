@@ -37,7 +37,7 @@ from tidepane.llm.hashing import mix, shingle_hashes
 from tidepane.sources.shared import stage
 
 #: Sign counters per segment in the cost sketch.
-SIGNS = 8
+SIGNS = 2
 #: Segments of one (band, segment) table whose allowance may be moved.
 MOST_MOVES = 4096
 #: A segment whose squared frequencies exceed this many times its rows is too costly.
