@@ -31,8 +31,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 #: A word without digits before blanks, or a key with = or :, then a token with a digit.
-CANDIDATE = r"(?<!\S)(?:[^\s=:0-9]++[=:]|[^\s0-9]++[ \t]++)[^\s=:0-9]*+[0-9][^\s=:]*+"
-CONTEXT = r"^([^\s=:0-9]++[=:]|[^\s0-9]++[ \t]++)"
+CANDIDATE = r"(?<!\S)(?:[^\s=:0-9]++[=:](?!\s)|[^\s0-9]++[ \t]++)[^\s=:0-9]*+[0-9][^\s=:]*+"
+CONTEXT = r"^([^\s=:0-9]++[=:](?!\s)|[^\s0-9]++[ \t]++)"
 
 ROUNDS = 3
 #: Distinct trusted instances that a pattern needs, and its confidence in thousandths.
