@@ -103,3 +103,13 @@ def test_messages(spark):
     assert [r["value"] for r in revised.collect()] == [
         "Past Result of the affected window computed at: 1970.1.1 00:00:04, Updated result: 13.0"
     ]
+
+
+def test_rows_without_order_or_time(spark):
+    from tidepane.sources import arrivals, rejected
+
+    df = spark.createDataFrame([(1, 1000, 1.0), (None, 10**12, 2.0), (3, None, 3.0), (4, 3000, 4.0)], "seq bigint, ts bigint, value double")
+    with pytest.raises(Exception, match="is NULL"):
+        arrivals(df).collect()
+    assert [r.seq for r in arrivals(df, nulls="reject").orderBy("seq").collect()] == [1, 4]
+    assert sorted((r.value, r.reason) for r in rejected(df).collect()) == [(2.0, "no order"), (3.0, "no time")]

@@ -20,7 +20,7 @@ from tidepane.plans.native import native_windows
 from tidepane.plans.sliding import (
     sliding_current, sliding_final, sliding_revised, sliding_versions,
 )
-from tidepane.sources import arrivals, parse_lines, read_lines
+from tidepane.sources import arrivals, parse_lines, read_lines, rejected
 from tidepane.sources.lines import DOCUMENTED_PATTERN
 from tidepane.sources.shared import fresh_path
 from tidepane.spec import WindowSpec
@@ -216,6 +216,16 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(spark.read.parquet(f"{base}/out"))
 
 
+def null_rows_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row once: accepted, dropped as late, or rejected for want of a time."""
+    lost = F.col("event_id") % 97 == 5
+    table = events(spark, sf_dir).withColumn("ts", F.when(~lost, disordered_ms()))
+    rows = with_progress(arrivals(table, seq="event_id", nulls="reject"), SPEC)
+    status = F.when(F.col("lateness_ms") <= SPEC.lateness_ms, "accepted").otherwise("dropped")
+    bad = rejected(table, seq="event_id").select(F.col("event_id").alias("seq"), F.col("reason").alias("status"))
+    return rows.select("seq", status.alias("status")).union(bad)
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "parse_lines": parsed_lines(None),
@@ -224,6 +234,7 @@ def queries() -> dict[str, Query]:
         "event_progress": event_progress,
         "late_accepted": audit(late_accepted),
         "late_dropped": audit(dropped),
+        "null_rows_audit": null_rows_audit,
         "slide_epoch_assign": slide_epoch_assign,
         "pane_partials": pane_partials,
     }
@@ -281,6 +292,11 @@ def oracle_sql() -> dict[str, str]:
         "event_progress": f"{rows} SELECT seq, ts_ms, mx AS progress_ms, lateness_ms FROM prog",
         "late_accepted": f"{rows} {late} kept WHERE lateness_ms > 0",
         "late_dropped": f"{rows} {late} prog WHERE lateness_ms > {SPEC.lateness_ms}",
+        "null_rows_audit": f"""WITH timed AS (SELECT event_id AS seq,
+            CASE WHEN event_id % 97 <> 5 THEN {sql.DISORDER_SQL} END AS ts_ms FROM events),
+            reached AS (SELECT seq, ts_ms, max(ts_ms) OVER (ORDER BY seq) AS mx FROM timed)
+            SELECT seq, CASE WHEN ts_ms IS NULL THEN 'no time' WHEN mx - ts_ms <= {SPEC.lateness_ms}
+            THEN 'accepted' ELSE 'dropped' END AS status FROM reached""",
         "slide_epoch_assign": f"""{rows} SELECT seq, s AS slide, a AS epoch,
             epoch_ms(o + (s + 1) * {SPEC.slide_ms}) AS slide_end FROM kept""",
         "pane_partials": f"""{rows} SELECT q AS pane, a AS epoch, count(*) AS n,

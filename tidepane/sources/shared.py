@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
