@@ -6,12 +6,14 @@ model), so a path has a probability. Gumbel top-k without replacement: the root
 score, each node hands its score to the child that wins the perturbed comparison, and the other
 children get scores cut off at it. Following the winners leads to the best path, and the best child
 left behind is where an A* search goes on, so every sample costs one descent from there and no path
-comes twice. A sample's inclusion score is the probability that its perturbed score exceeds that of
+comes twice. Siblings left behind wait in the queue together, by the best score among them; which of
+them has it is drawn when the search comes back. A sample's inclusion score is the probability that its perturbed score exceeds that of
 the best path left out. Noise is a hash of the row's key, the sample and the place in the lattice:
 results do not depend on partitions.
 
-No piece of the vocabulary spans a blank after a letter or a line break, so lattices are built per
-distinct unit (blanks and the word after them) and documents walk through them together, in numpy.
+No piece of the vocabulary spans a blank after a letter, a line break, or a letter and a sign, so
+lattices are built per distinct unit (blanks and the word or signs after them; a vocabulary with
+other pieces is refused) and documents walk through them together, in numpy.
 The encoding is lossless: no normalisation, blanks are the pieces' word marks, one blank is put in
 front and taken off by decoding.
 
@@ -23,6 +25,7 @@ not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -42,7 +45,8 @@ SHARPNESS = 1.0
 CHUNK_BYTES = 400_000
 CACHE_EDGES = 9_000_000
 
-_UNIT = re.compile(rb" *[^ \n]+| +|\n")
+#: Blanks and what follows of one kind: Latin letters (up to U+02BF), or anything else.
+_UNIT = re.compile(rb" *(?:[A-Za-z]+|[\xc3-\xca][\x80-\xbf])+| *[^ \nA-Za-z\xc3-\xca]+| +|\n|[\xc3-\xca]")
 _MARK = "▁"
 
 
@@ -51,6 +55,9 @@ class Vocabulary:
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray, bytes_at: list[int]):
         self.pieces, self.log_p, self.bytes_at = pieces, log_p, np.array(bytes_at)
+        self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.begins = np.cumsum(self.sizes) - self.sizes
         by_length: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             if np.isfinite(log_p[i]):
@@ -63,7 +70,7 @@ class Vocabulary:
                 continue
             data = np.frombuffer(b"".join(pieces[i] for i in ids), dtype=np.uint8)
             at = np.arange(len(ids)) * length
-            keys = np.concatenate([span_hashes(prefix_sums(data[k : k + length]), np.array([0]), np.array([length])) for k in at])
+            keys = span_hashes(prefix_sums(data), at, at + length)
             order = np.argsort(keys)
             present = np.zeros(1 << 18, dtype=bool)
             present[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
@@ -86,7 +93,7 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i):
                 pieces.append(b"")
             else:
-                if _MARK in piece.lstrip(_MARK) or "\n" in piece or " " in piece:
+                if " " in piece or len(_UNIT.findall(piece.replace(_MARK, " ").encode())) > 1:
                     raise ValueError(f"piece {piece!r} spans units")
                 rank += 1
                 pieces.append(piece.replace(_MARK, " ").encode())
@@ -95,12 +102,20 @@ class Vocabulary:
             raise ValueError("the model has no byte fallback")
         return pieces, log_p, bytes_at
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))[1:]
+    def decode(self, encoded: list[np.ndarray]) -> list[bytes]:
+        """Texts of sequences of piece ids; the blank put in front of each is taken off."""
+        counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        ids = np.concatenate(encoded) if len(encoded) else np.zeros(0, dtype=np.int32)
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(self.begins[ids] - ends[:-1], size)
+        data = self.bytes[at].tobytes()
+        last = ends[np.cumsum(counts)]
+        return [data[a + 1 : b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())]
 
 
 class Lattices:
-    """Lattices of distinct units in one node space, edges in order of their node."""
+    """Lattices of distinct units in one node space, edges in order of their node, long ones first."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -112,7 +127,8 @@ class Lattices:
         # Grown by doubling; only the first n_nodes and n_edges entries count.
         self.first, self.degree = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
         self.target, self.piece = np.zeros(1 << 17, dtype=np.int32), np.zeros(1 << 17, dtype=np.int32)
-        self.log_q = np.zeros(1 << 17, dtype=np.float32)
+        # Log probability of an edge at its node, and share of the node's edges up to it.
+        self.log_q, self.upto = np.zeros(1 << 17, dtype=np.float32), np.zeros(1 << 17, dtype=np.float32)
 
     def _append(self, name: str, used: int, values: np.ndarray) -> None:
         array = getattr(self, name)
@@ -131,7 +147,14 @@ class Lattices:
         unit_of = np.repeat(np.arange(len(units)), lengths)
         ends = np.cumsum(lengths)[unit_of]
         left = ends - np.arange(len(data))  # bytes up to the unit's end
-        sources, targets, pieces = [], [], []
+        # An edge as one number that sorts by source, then longest first: source, length, piece.
+        piece_bits, length_bits = len(vocabulary.pieces).bit_length(), max(vocabulary.index).bit_length()
+        longest = (1 << length_bits) - 1
+
+        def packed(at: np.ndarray, length: int, piece: np.ndarray) -> np.ndarray:
+            return (((at << length_bits) + (longest - length)) << piece_bits) + piece
+
+        edges = []
         single = np.zeros(len(data), dtype=bool)
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
         heads = np.flatnonzero((data & 0xC0) != 0x80)
@@ -148,50 +171,52 @@ class Lattices:
                 where = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
                 good = keys[where] == hashes[maybe]
                 at, where = at[maybe[good]], where[good]
-                sources.append(at)
-                targets.append(at + length)
-                pieces.append(ids[where])
+                edges.append(packed(at, length, ids[where]))
                 single[at[width[at] == length]] = True
         # Bytes of characters that have no piece.
         owner = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0))
         alone = np.flatnonzero(~single[owner])
-        sources.append(alone)
-        targets.append(alone + 1)
-        pieces.append(vocabulary.bytes_at[data[alone]])
-        source, target, piece = (np.concatenate(x) for x in (sources, targets, pieces))
-        log_p = vocabulary.log_p[piece]
+        edges.append(packed(alone, 1, vocabulary.bytes_at[data[alone]]))
+        edge = np.sort(np.concatenate(edges))
+        piece = edge & ((1 << piece_bits) - 1)
+        source = edge >> (length_bits + piece_bits)
+        target = source + longest - ((edge >> piece_bits) & longest)
+        log_p, ending = vocabulary.log_p[piece], target == ends[source]
         # Total log probability from a node to its unit's end, from the end on.
-        order = np.lexsort((source, left[source]))
-        beta = np.full(len(data), -np.inf)
-        s, t, w = source[order], target[order], log_p[order]
-        cuts = np.searchsorted(left[s], np.arange(1, int(left.max(initial=0)) + 2))
+        level = left[source]
+        if level.max(initial=0) < 1 << 16:
+            level = level.astype(np.uint16)  # sorted by digits
+        order = np.argsort(level, kind="stable")
+        beta = np.full(len(data) + 1, -np.inf)
+        s, t, w, e = source[order], target[order], log_p[order], ending[order]
+        cuts = np.searchsorted(level[order], np.arange(1, int(level.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if a == b:
                 continue
-            values = w[a:b] + np.where(t[a:b] == ends[s[a:b]], 0.0, beta[np.minimum(t[a:b], len(data) - 1)])
+            values = w[a:b] + np.where(e[a:b], 0.0, beta[t[a:b]])
             new = np.flatnonzero(np.concatenate([[True], s[a + 1 : b] != s[a : b - 1]]))
             beta[s[a:b][new]] = np.logaddexp.reduceat(values, new)
-        after = np.where(target == ends[source], 0.0, beta[np.minimum(target, len(data) - 1)])
-        log_q = log_p + after - beta[source]
-        alive = np.isfinite(log_q)
-        source, target, piece, log_q = source[alive], target[alive], piece[alive], log_q[alive]
-        order = np.lexsort((piece, source))
-        source, target, piece, log_q = source[order], target[order], piece[order], log_q[order]
-        # Node numbers: a unit's end node follows its last byte.
+        log_q = log_p + np.where(ending, 0.0, beta[target]) - beta[source]
+        # Node numbers: a unit's end node follows its last byte; as a target it is -1.
         base = self.n_nodes
         degree = np.bincount(source + unit_of[source], minlength=len(data) + len(units))
+        last = np.cumsum(degree[degree > 0]) - 1
+        share = np.cumsum(np.exp(log_q))
+        upto = share - np.repeat(np.concatenate([[0.0], share[last[:-1]]]), degree[degree > 0])
+        upto[last] = 2.0  # beyond every draw
         self._append("first", base, self.n_edges + np.cumsum(degree) - degree)
         self._append("degree", base, degree)
-        self._append("target", self.n_edges, base + target + unit_of[source])
+        self._append("target", self.n_edges, np.where(ending, -1, base + target + unit_of[source]))
         self._append("piece", self.n_edges, piece)
         self._append("log_q", self.n_edges, log_q)
+        self._append("upto", self.n_edges, upto)
         self.n_nodes += len(degree)
         self.n_edges += len(piece)
         starts = base + np.cumsum(lengths) - lengths + np.arange(len(units))
         self.node_of.update(zip(units, starts.tolist()))
 
     def nodes(self, units: list[bytes]) -> np.ndarray:
-        new = set(units) - self.node_of.keys()
+        new = set(units).difference(self.node_of)
         if new and self.n_edges > CACHE_EDGES:
             self.clear()
             new = set(units)
@@ -200,65 +225,83 @@ class Lattices:
         return np.fromiter(map(self.node_of.__getitem__, units), dtype=np.int64, count=len(units))
 
 
-_CHILD = np.uint64(0x9E3779B97F4A7C15)
+_REST = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SAMPLES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+#: A Gumbel draw of :func:`_gumbel` lies between -3.7 and 36.8: what lies further behind cannot win.
+_REACH = 45.0
+#: How far below its start a text is looked at first for nodes to go on from.
+_DEPTH = 80.0
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def _gumbel(x: np.ndarray) -> np.ndarray:
-    u = ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    return -np.log(-np.log(u))
+    return -np.log(-np.log(_uniform(x)))
 
 
 class _Walk:
-    """One descent of many documents: chosen pieces per occurrence, and the children left behind."""
-
-    def __init__(self, lattices: Lattices, noise: np.ndarray, occ: np.ndarray, node: np.ndarray, done: np.ndarray):
-        steps, behind = [], []
-        active = np.arange(len(occ))
-        total = done.copy()
-        step = 0
-        node = node.astype(np.int32)
+    """One descent of many documents: chosen edges per occurrence, and the nodes they left.
+
+    Which child wins does not depend on the score it inherits, so the winner is drawn by the
+    children's shares alone; what its siblings score at best is drawn later, where it can matter.
+    """
+
+    def __init__(self, lattices: Lattices, noise: np.ndarray, node: np.ndarray):
+        edges, owners = [], []
+        active, at, step = np.arange(len(node)), node, 0
         while True:
-            degree = lattices.degree[node[active]]
-            if not degree.all():
-                active, degree = active[degree > 0], degree[degree > 0]
+            ongoing = at >= 0
+            if not ongoing.all():
+                active, at = active[ongoing], at[ongoing]
             if not len(active):
                 break
-            ends = np.cumsum(degree)
-            seg = ends - degree
-            owner = np.repeat(np.arange(len(active), dtype=np.int32), degree)
-            child = np.arange(len(owner)) - seg[owner]
-            edge = child + lattices.first[node[active]][owner]
-            log_q = lattices.log_q[edge]
-            salt = noise[active] + _STEPS[step % len(_STEPS)] * np.uint64(1 + step // len(_STEPS))
-            value = log_q + _gumbel(salt[owner] + child.astype(np.uint64) * _CHILD)
-            best = np.maximum.reduceat(value, seg)
-            wins = value == best[owner]
-            winner = np.flatnonzero(wins)
-            if len(winner) > len(active):  # equal values: the first wins
-                winner = winner[np.searchsorted(owner[winner], np.arange(len(active)))]
-                wins[:] = False
-                wins[winner] = True
-            rest = np.flatnonzero(~wins)
-            o = owner[rest]
-            behind.append((active[o], np.full(len(o), step, dtype=np.int32), edge[rest], total[active][o], value[rest], best[o]))
-            chosen = edge[winner]
-            steps.append((active, lattices.piece[chosen]))
-            total[active] += log_q[winner]
-            node[active] = lattices.target[chosen]
+            draw = _uniform(noise[active] + _STEPS[step % len(_STEPS)] * np.uint64(1 + step // len(_STEPS)))
+            edge = lattices.first[at]
+            beyond = np.flatnonzero(draw >= lattices.upto[edge])
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[draw[beyond] >= lattices.upto[edge[beyond]]]
+            edges.append(edge)
+            owners.append(active)
+            at = lattices.target[edge]
             step += 1
-        self.total = total - done
-        self.counts = np.zeros(len(occ), dtype=np.int64)
-        for a, _ in steps:
-            self.counts[a] += 1
-        offsets = np.cumsum(self.counts) - self.counts
-        self.pieces = np.zeros(int(self.counts.sum()), dtype=np.int32)
-        for k, (a, p) in enumerate(steps):
-            self.pieces[offsets[a] + k] = p
-        self.offsets = offsets
-        kinds = (np.int64, np.int64, np.int64, float, float, float)
-        self.behind = [np.concatenate(x) if behind else np.zeros(0, dtype=k) for x, k in zip(zip(*behind) if behind else kinds, kinds)]
+        self.counts = np.zeros(len(node), dtype=np.int64)
+        for k, active in enumerate(owners):
+            self.counts[active] = k + 1
+        self.offsets = np.cumsum(self.counts) - self.counts
+        self.edges = np.zeros(int(self.counts.sum()), dtype=np.int32)
+        for k, (active, edge) in enumerate(zip(owners, edges)):
+            self.edges[self.offsets[active] + k] = edge
+        sums = np.concatenate([[0.0], np.cumsum(lattices.log_q[self.edges], dtype=np.float64)])
+        # Log probability of the edges before each one, and of all edges of an occurrence.
+        self.before = sums[:-1]
+        self.total = sums[self.offsets + self.counts] - sums[self.offsets]
+
+
+def _best_child(lattices: Lattices, noise: np.ndarray, nodes: list[tuple], number: int) -> tuple:
+    """Take the best child left off the best of ``nodes``: score, sample, occurrence, step, edge, before.
+
+    The child is drawn by the shares of those not taken; the others stay, cut off at its score.
+    """
+    g, parent, occ, step, node, taken, before = nodes.pop(0)
+    first = int(lattices.first[node])
+    left = [e for e in range(first, first + int(lattices.degree[node])) if e not in taken]
+    shares = [math.exp(lattices.log_q[e]) for e in left]
+    salt = mix(noise[occ : occ + 1] + _SAMPLES[number]) + np.uint64(step)
+    draw, again = _uniform(np.concatenate([salt, salt ^ _REST])).tolist()
+    k, draw = 0, draw * sum(shares)
+    while k < len(left) - 1 and draw >= shares[k]:
+        draw -= shares[k]
+        k += 1
+    rest = sum(shares[:k]) + sum(shares[k + 1 :])
+    if rest > 0:
+        score = -float(np.logaddexp(-g, -(before + math.log(rest) - math.log(-math.log(again)))))
+        nodes.append((score, parent, occ, step, node, (*taken, left[k]), before))
+        nodes.sort(key=lambda y: -y[0])
+    return g, parent, occ, step, left[k], before
 
 
 def sample(texts: list[bytes], keys: np.ndarray, lattices: Lattices, samples: int) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -280,78 +323,90 @@ def sample(texts: list[bytes], keys: np.ndarray, lattices: Lattices, samples: in
     noise = mix(keys)[doc_of] + mix(place * np.uint64(0xA0761D6478BD642F) + np.uint64(1))
     root = _gumbel(mix(keys) + np.uint64(12345))
     found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in range(n)]
-    # Open children per text: score, sample they were left behind in, occurrence, step, edge, prefix.
+    # Per text the nodes to go on from: score of the best child not taken yet, sample that came by,
+    # occurrence, step, node, edges taken, log probability of what lies before.
     open_: list[list[tuple]] = [[] for _ in range(n)]
     paths: list[list[np.ndarray]] = [[] for _ in range(n)]  # pieces of each sample
     piece_at: list[list[np.ndarray]] = [[] for _ in range(n)]  # where each occurrence's pieces begin
     live = np.arange(n)
     for number in range(samples):
+        heads: dict[int, tuple] = {}
         if number == 0:
-            occ, node = np.arange(len(units)), starts.copy()
-            done, score, begin = np.zeros(len(units)), root, bounds
-            prefix = np.zeros(n)
-            walk_docs, heads = doc_of, {}
+            node = starts
+            prefix, score = np.zeros(n), root
+            walk_docs, occ = doc_of, np.arange(len(units))
         else:
-            heads = {}
             for d in live.tolist():
                 if open_[d]:
-                    heads[d] = open_[d].pop(0)
+                    heads[d] = _best_child(lattices, noise, open_[d], number)
             live = np.array(sorted(heads), dtype=np.int64)
             if not len(live):
                 break
-            begin = np.zeros(n, dtype=np.int64)
-            begin[live] = [heads[d][2] for d in live.tolist()]
-            stop = bounds + counts
-            size = stop[live] - begin[live]
-            occ = np.repeat(begin[live] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            node = starts[occ]
-            done = np.zeros(len(occ))
+            begin = np.array([heads[d][2] for d in live.tolist()], dtype=np.int64)
+            size = (bounds + counts)[live] - begin
             first = np.cumsum(size) - size
-            prefix = np.zeros(n)
-            score = np.zeros(n)
+            occ = np.repeat(begin - first, size) + np.arange(int(size.sum()))
+            node = starts[occ]
+            prefix, score = np.zeros(n), np.zeros(n)
             for k, d in zip(first.tolist(), live.tolist()):
-                g, _, _, _, edge, before, inner = heads[d]
+                g, _, _, _, edge, before = heads[d]
                 node[k] = lattices.target[edge]
-                done[k] = inner + lattices.log_q[edge]
-                prefix[d] = before  # of the occurrences before this one
+                prefix[d] = before + float(lattices.log_q[edge])
                 score[d] = g
             walk_docs = doc_of[occ]
-        walk = _Walk(lattices, noise[occ] + _SAMPLES[number], occ, node, done)
+        walk = _Walk(lattices, noise[occ] + _SAMPLES[number], node)
         # Log probability of everything before each occurrence.
-        whole = walk.total + done
-        sums = np.concatenate([[0.0], np.cumsum(whole)])
+        sums = np.concatenate([[0.0], np.cumsum(walk.total)])
         first_of = np.searchsorted(walk_docs, np.arange(n))
-        ahead = sums[:-1] - sums[first_of[walk_docs]] + prefix[walk_docs]
         last_of = np.searchsorted(walk_docs, np.arange(n), side="right")
+        ahead = sums[:-1] - sums[first_of[walk_docs]] + prefix[walk_docs]
         log_p = sums[last_of] - sums[first_of] + prefix
-        a, step, edge, inner, value, best = walk.behind
-        d = walk_docs[a]
-        perturbed = ahead[a] + inner + value
-        cap = score[d]
-        v = cap - perturbed + np.log(-np.expm1(np.minimum(value - best, -1e-12)))
-        g = cap - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
-        # The best children per text, as many as can still be needed.
-        for _ in range(samples - number):
-            top = np.full(n, -np.inf)
-            np.maximum.at(top, d, g)
-            hit = np.flatnonzero((g == top[d]) & np.isfinite(g))
-            taken = set()
-            for i in hit.tolist():
-                if int(d[i]) in taken:
-                    continue
-                taken.add(int(d[i]))
-                skipped = heads[int(d[i])][3] + 1 if number and a[i] == first_of[d[i]] else 0
-                open_[d[i]].append(
-                    (float(g[i]), number, int(occ[a[i]]), int(step[i]) + skipped, int(edge[i]), float(ahead[a[i]]), float(inner[i]))
-                )
-                g[i] = -np.inf
-        piece_first = np.append(walk.offsets, len(walk.pieces))
+        # The nodes passed, by the best score among the children that did not win: a Gumbel variable
+        # around their common log probability, cut off at the score that came in.
+        # Only nodes near the likeliest ones can give it; most texts need just their first words.
+        deep = prefix - _DEPTH
+        while True:
+            at_occ = np.flatnonzero(ahead >= deep[walk_docs])
+            size = walk.counts[at_occ]
+            a = np.repeat(at_occ, size)
+            passed = np.arange(len(a)) + np.repeat(walk.offsets[at_occ] - (np.cumsum(size) - size), size)
+            d, step = walk_docs[a], passed - walk.offsets[a]
+            came_from = np.where(step == 0, node[a], lattices.target[walk.edges[passed - 1]])
+            at_log = ahead[a] + walk.before[passed] - walk.before[walk.offsets[a]]
+            log_q = lattices.log_q[walk.edges[passed]].astype(np.float64)
+            rest = np.where(lattices.degree[came_from] > 1, np.log(-np.expm1(np.minimum(log_q, -1e-15))), -np.inf)
+            location = at_log + rest
+            # What the needed number of nodes reaches per text; none far below can beat those.
+            least, bar = location.copy(), np.full(n, -np.inf)
+            for _ in range(samples - number):
+                bar[:] = -np.inf
+                np.maximum.at(bar, d, least)
+                least[least == bar[d]] = -np.inf
+            short = np.isfinite(deep) & (bar - _REACH < deep)
+            if not short.any():
+                break
+            deep[short] = -np.inf
+        near = np.flatnonzero((location >= bar[d] - _REACH) & np.isfinite(location))
+        a, d, step, passed, came_from, at_log, location = (x[near] for x in (a, d, step, passed, came_from, at_log, location))
+        salt = (noise[occ[a]] + _SAMPLES[number] + _STEPS[step % len(_STEPS)] * (1 + step // len(_STEPS)).astype(np.uint64)) ^ _REST
+        g = -np.logaddexp(-score[d], -(location + _gumbel(salt)))
+        order = np.lexsort((passed, -g, d))
+        begins = np.searchsorted(d[order], np.arange(n + 1))
+        for x in live.tolist():
+            for i in order[begins[x] : min(begins[x] + samples - number, begins[x + 1])].tolist():
+                # In the first occurrence of a later sample, steps count from where it left the other.
+                skipped = heads[x][3] + 1 if number and a[i] == first_of[x] else 0
+                edge = int(walk.edges[passed[i]])
+                open_[x].append((float(g[i]), number, int(occ[a[i]]), int(step[i]) + skipped, int(came_from[i]), (edge,), float(at_log[i])))
+            open_[x] = sorted(open_[x], key=lambda y: -y[0])[: samples - number]
+        piece_first = np.append(walk.offsets, len(walk.edges))
+        chosen = lattices.piece[walk.edges]
         for x in live.tolist():
             lo, hi = int(first_of[x]), int(last_of[x])
-            new = walk.pieces[piece_first[lo] : piece_first[hi]]
+            new = chosen[piece_first[lo] : piece_first[hi]]
             at = walk.offsets[lo:hi] - (walk.offsets[lo] if hi > lo else 0)
             if number:
-                _, parent, at_occ, at_step, at_edge, _, _ = heads[x]
+                _, parent, at_occ, at_step, at_edge, _ = heads[x]
                 k = at_occ - int(bounds[x])
                 cut = int(piece_at[x][parent][k]) + at_step
                 new = np.concatenate([paths[x][parent][:cut], lattices.piece[at_edge : at_edge + 1], new])
@@ -359,7 +414,6 @@ def sample(texts: list[bytes], keys: np.ndarray, lattices: Lattices, samples: in
             paths[x].append(new)
             piece_at[x].append(at)
             found[x].append((new, float(log_p[x]), 1.0))
-            open_[x] = sorted(open_[x], key=lambda y: -y[0])[: samples - number]
     for x in range(n):
         if open_[x]:
             edge_score = open_[x][0][0]
@@ -367,16 +421,36 @@ def sample(texts: list[bytes], keys: np.ndarray, lattices: Lattices, samples: in
     return found
 
 
+#: The lattices of this worker, kept from task to task: those of the last vocabulary used.
+_kept: dict[str, Lattices] = {}
+
+
+def _lattices(model: tuple[str, tuple]) -> Lattices:
+    name, parts = model
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Lattices(Vocabulary(*parts))
+    return _kept[name]
+
+
+def _named_model(path: str) -> tuple[str, tuple]:
+    pieces, log_p, bytes_at = Vocabulary.load(path)
+    digest = hashlib.sha256(log_p.tobytes() + repr((pieces, bytes_at)).encode())
+    return digest.hexdigest(), (pieces, log_p, bytes_at)
+
+
 def _encode(broadcast, samples: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*broadcast.value)
-        lattices = Lattices(vocabulary)
+        lattices = _lattices(broadcast.value)
+        vocabulary = lattices.vocabulary
 
         def flush(rows: list, texts: list[bytes], keys: list[int]) -> pa.RecordBatch:
             out: list[list] = [[] for _ in range(7)]
-            for row, text, found in zip(rows, texts, sample(texts, np.array(keys, dtype=np.uint64), lattices, samples)):
+            sampled = sample(texts, np.array(keys, dtype=np.uint64), lattices, samples)
+            back = iter(vocabulary.decode([ids for found in sampled for ids, _, _ in found]))
+            for row, text, found in zip(rows, texts, sampled):
                 for number, (ids, log_p, inclusion) in enumerate(found, 1):
-                    decoded = vocabulary.decode(ids.tolist())
+                    decoded = next(back)
                     digest = None if with_ids else hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
                     values = (row, number, len(ids), round(log_p, 6), inclusion, ids if with_ids else digest, decoded == text)
                     for column, value in zip(out, values):
@@ -412,7 +486,7 @@ def sampled_encodings(docs: DataFrame, model: str = MODEL, samples: int = SAMPLE
     ``ids`` are the piece ids, or with ``with_ids=False`` the SHA-256 of their little-endian form.
     ``lossless`` says that decoding gave the text back.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(_named_model(model))
     source = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key")
     )
@@ -432,7 +506,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(*broadcast.value)
         for batch in batches:
-            texts = [None if x is None else vocabulary.decode(x) for x in batch.column(1).to_pylist()]
+            ids = [None if x is None else np.array(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
+            back = iter(vocabulary.decode([x for x in ids if x is not None]))
+            texts = [None if x is None else next(back) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "text"])
 
     carried = [c for c in encoded.columns if c != "ids"]
