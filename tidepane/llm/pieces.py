@@ -42,8 +42,8 @@ SAMPLES = 2
 #: Log probability of a piece: minus this times the logarithm of its rank.
 SHARPNESS = 1.0
 #: Text walked through together, and edges of cached unit lattices in a worker.
-CHUNK_BYTES = 400_000
-CACHE_EDGES = 9_000_000
+CHUNK_BYTES = 1_000_000
+CACHE_EDGES = 16_000_000
 
 #: Blanks and what follows of one kind: Latin letters (up to U+02BF), or anything else.
 _UNIT = re.compile(rb" *(?:[A-Za-z]+|[\xc3-\xca][\x80-\xbf])+| *[^ \nA-Za-z\xc3-\xca]+| +|\n|[\xc3-\xca]")
@@ -114,6 +114,18 @@ class Vocabulary:
         return [data[a + 1 : b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())]
 
 
+class _Places(dict):
+    """First nodes of units; an unknown unit is noted in ``fresh`` and stands for minus its number."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, unit: bytes) -> int:
+        self.fresh.append(unit)
+        self[unit] = -len(self.fresh)
+        return -len(self.fresh)
+
+
 class Lattices:
     """Lattices of distinct units in one node space, edges in order of their node, long ones first."""
 
@@ -122,7 +134,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.node_of: dict[bytes, int] = {}
+        self.node_of = _Places()
         self.n_nodes = self.n_edges = 0
         # Grown by doubling; only the first n_nodes and n_edges entries count.
         self.first, self.degree = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
@@ -216,13 +228,21 @@ class Lattices:
         self.node_of.update(zip(units, starts.tolist()))
 
     def nodes(self, units: list[bytes]) -> np.ndarray:
-        new = set(units).difference(self.node_of)
-        if new and self.n_edges > CACHE_EDGES:
+        if self.n_edges > CACHE_EDGES:
             self.clear()
-            new = set(units)
-        if new:
-            self.add(sorted(new))
-        return np.fromiter(map(self.node_of.__getitem__, units), dtype=np.int64, count=len(units))
+        known = self.node_of
+        nodes = np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
+        if known.fresh:
+            fresh, known.fresh = known.fresh, []
+            try:
+                self.add(fresh)
+            except BaseException:  # the units noted have no lattice
+                self.clear()
+                raise
+            first = np.fromiter(map(known.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+            new = nodes < 0
+            nodes[new] = first[-1 - nodes[new]]
+        return nodes
 
 
 _REST = np.uint64(0x9E3779B97F4A7C15)
@@ -235,7 +255,11 @@ _DEPTH = 80.0
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    # 53 bits: as signed numbers they are the same and convert faster.
+    out = (mix(x) >> np.uint64(11)).view(np.int64).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def _gumbel(x: np.ndarray) -> np.ndarray:
