@@ -84,6 +84,16 @@ def test_state_keeps_only_reachable_panes(spark, tmp_path):
     assert all(open_epoch - r["pane"] <= reach for r in panes)
 
 
+def test_state_of_another_query_is_refused(spark, tmp_path):
+    frame = make(spark, random_rows(3, 40))
+    dirs = {"state_dir": f"{tmp_path}/state", "out_dir": f"{tmp_path}/out"}
+    ExactStream(SPEC, AGGS, **dirs).process(frame.filter("seq < 20"), 0)
+    for other in (ExactStream(WindowSpec.of("32 s", "4 s", "24 s"), AGGS, **dirs), ExactStream(SPEC, [SUM], **dirs)):
+        with pytest.raises(RuntimeError, match="of the query"):
+            other.process(frame.filter("seq >= 20"), 1)
+    ExactStream(SPEC, AGGS, **dirs).process(frame.filter("seq >= 20"), 1)
+
+
 def test_flush_is_refused():
     with pytest.raises(ValueError):
         ExactStream(SPEC.with_options(flush=True), [SUM], state_dir="s", out_dir="o")

@@ -27,7 +27,8 @@ class ExactStream:
     State between batches is two tables: the panes that can still reach a window, and one head
     row per key (progress, first and open epoch). Batch ``i`` reads slot ``i-1`` and replaces slot
     ``i`` (modulo three), so a batch that is run again after a failure starts from the same state;
-    its output folder is replaced as a whole as well.
+    its output folder is replaced as a whole as well. State that another window, list of aggregates
+    or list of keys has left is refused.
     """
 
     def __init__(
@@ -44,6 +45,9 @@ class ExactStream:
             raise ValueError("a stream never closes its open slide; flush is for batch input")
         self.spec, self.aggs, self.keys = spec, list(aggs), list(keys)
         self.groups = group_keys(spec, keys)
+        # Slide numbers and partial columns only mean the same under the same query.
+        states = [(agg.name, *agg.state_columns()) for agg in self.aggs]
+        self.query = f"{spec!r}, {states!r}, {self.keys!r}"
         # One level of arrival buckets is enough for what a single micro-batch holds.
         self.progress_levels = progress_levels
         self.state_dir, self.out_dir = state_dir.rstrip("/"), out_dir.rstrip("/")
@@ -68,11 +72,14 @@ class ExactStream:
             before = f"{self.state_dir}/slot={(batch_id - 1) % SLOTS}"
             old_panes = spark.read.parquet(f"{before}/panes")
             old_heads = spark.read.parquet(f"{before}/heads")
-            found = old_heads.select("batch_id").first()
+            found = old_heads.select("batch_id", "query").first()
             if found is not None and found["batch_id"] != batch_id - 1:
                 raise RuntimeError(
                     f"state in {before} is of batch {found['batch_id']}, not {batch_id - 1}"
                 )
+            if found is not None and found["query"] != self.query:
+                raise RuntimeError(f"state in {before} is of the query {found['query']}, not {self.query}")
+            old_heads = old_heads.drop("query")
 
         progressed = with_progress(
             rows, self.spec, self.keys, heads=old_heads, levels=self.progress_levels
@@ -103,7 +110,9 @@ class ExactStream:
                 F.min("emit_from").alias("emit_from"),
                 F.max("open_epoch").alias("open_epoch"),
             )
-        return new.filter(F.col("open_epoch").isNotNull()).withColumn("batch_id", F.lit(batch_id))
+        return new.filter(F.col("open_epoch").isNotNull()).withColumns(
+            {"batch_id": F.lit(batch_id), "query": F.lit(self.query)}
+        )
 
     def _emit(self, panes: DataFrame, arrived: DataFrame, heads: DataFrame, batch_id: int) -> None:
         since = heads.select(
