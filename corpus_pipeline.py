@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepane.llm.decontaminate import decontaminate
 from tidepane.llm.jaccard import keep_one
-from tidepane.llm.line_chunks import line_dedup
+from tidepane.llm.line_chunks import run_dedup
 from tidepane.llm.pieces import sampled_encodings
 from tidepane.llm.quality import keep_good
 from tidepane.llm.tables import load
@@ -24,8 +24,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go but for their first occurrence; ``n_chars`` follows the text."""
-    kept = line_dedup(docs)
+    """Repeated runs of two lines or more go but for their first occurrence; ``n_chars`` follows the text."""
+    kept = run_dedup(docs)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
 

@@ -159,6 +159,27 @@ def test_line_chunks_with_one_hash_are_compared(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_removed_chunks) for r in report) == [(1, 0), (2, 0), (3, 1), (4, 1), (4, 1)]
 
 
+def test_repeated_runs_go_whole(spark, table, docs, monkeypatch):
+    rows = [(i, "\n".join([f"own {i} a", "shared one", "shared two", "shared three", f"own {i} b", f"own {i} c"])) for i in range(12)]
+    rows += [(50, "x\nx\nx"), (51, "shared two\nshared three"), (52, "shared one"), (None, None), (53, "x\nx"), (53, "x\nx")]
+    for collide in (False, True):
+        if collide:
+            real = F.xxhash64
+            monkeypatch.setattr(line_chunks.F, "xxhash64", lambda *x: real(*x) * 0)
+        got = line_chunks.run_report(spark.createDataFrame(rows, DOC)).collect()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_removed_lines, r.n_removed_chunks) for r in got)
+        assert got == [(-1, 0, 0, 0), (0, 6, 0, 0), *[(i, 6, 3, 1) for i in range(1, 12)], (50, 3, 2, 1), (51, 2, 2, 1), (52, 1, 0, 0), (53, 2, 2, 1), (53, 2, 2, 1)]
+    monkeypatch.undo()
+    seen, want = set(), {}
+    for doc, text in sorted(docs):
+        lines, gone = (text or "").split("\n") if text is not None else [], set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {i, i + 1} if pair in seen else set()
+            seen.add(pair)
+        want[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert {r.doc_id: r.text or "" for r in line_chunks.run_dedup(table.withColumn("_out", F.lit(1))).collect()} == want
+
+
 def test_url_graph(spark):
     page = lambda i, url, *links: (i, url, "".join(f'<a class="x" href="{x}">t</a>' for x in links))
     rows = [

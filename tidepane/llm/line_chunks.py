@@ -1,6 +1,14 @@
-"""Line deduplication by content-defined chunks (operator 7), in DataFrame operations only.
+"""Line deduplication (operator 7), in DataFrame operations only.
 
-A document's lines are cut into chunks where a rolling hash over the last line hashes meets a
+``run_report`` and ``run_dedup`` remove every repeated run of lines: a chunk of two lines starts at
+every line, a chunk that stands earlier in the corpus is a hit, and a run is the union of the hits
+that adjoin. So a run of two lines or more goes wherever it stands and whatever surrounds it; the
+first occurrence of every line stays. Lines are keyed by hash, and the bytes of all lines behind a
+hash are compared; where they differ, chunks are told apart by their text. First is the smallest
+``doc_id``, then the earliest line.
+
+``line_report`` and ``line_dedup`` are the form with content-defined chunks alone, which leaves runs
+that hold no whole chunk. A document's lines are cut into chunks where a rolling hash over the last line hashes meets a
 condition, so boundaries move with the content and not with its place. Chunks of several lines that
 occur more than once in the corpus are found by hash, compared byte by byte with their first
 occurrence, and removed everywhere but there. First is the smallest ``doc_id``, then the earliest
@@ -132,3 +140,82 @@ def line_report(docs: DataFrame, **options: int) -> DataFrame:
         F.coalesce(F.size("_goes"), F.lit(0)).cast("bigint").alias("n_removed_chunks"),
         F.sha2(F.coalesce(_kept_text(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+def _pairs_of(lines: Column) -> Column:
+    """Chunks of two lines as structs ``line, h1, h2`` (first line counted from 1)."""
+    return F.flatten(F.transform(F.array(F.transform(lines, lambda x: F.xxhash64(x))), lambda h: F.transform(
+        F.slice(h, 1, F.size(h) - 1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("h1"), F.get(h, i + 1).alias("h2"))
+    )))
+
+
+def _lines_at(numbers: Column, width: int) -> Column:
+    """For each number the text of ``width`` lines from it on; the text is split once."""
+    return F.flatten(F.transform(F.array(lines_of(F.col("text"))), lambda x: F.transform(
+        numbers, lambda i: F.struct(i.alias("line"), F.array_join(F.slice(x, i, width), "\n").alias("bytes"))
+    )))
+
+
+def removed_pairs(docs: DataFrame) -> DataFrame:
+    """``_key, removed``: first lines of the two-line chunks that stand earlier, of documents with any."""
+    texts = docs.where("text IS NOT NULL")
+    found = _keyed(texts, F.col("doc_id"), F.explode(_pairs_of(lines_of(F.col("text")))).alias("c")).select(
+        F.struct("doc_id", "_key", "c.line").alias("at"), "c.h1", "c.h2"
+    )
+    found = stage(found, "line-pairs")
+    # Repeated rows are one place, so only different places count.
+    often = found.groupBy("h1", "h2").agg(F.min("at").alias("head"), F.max("at").alias("tail")).where("head <> tail").drop("tail")
+    repeated = stage(found.join(often, ["h1", "h2"]).distinct().withColumn("later", F.col("at") != F.col("head")).drop("head"), "line-repeats")
+    wanted = repeated.groupBy(F.col("at._key").alias("_key")).agg(F.collect_set("at.line").alias("w"))
+    numbers = F.array_distinct(F.concat("w", F.transform("w", lambda i: i + 1)))
+    lines = _keyed(texts, F.col("text")).join(wanted, "_key").select(F.explode(_lines_at(numbers, 1)).alias("x")).select(
+        F.xxhash64("x.bytes").alias("h"), F.col("x.bytes").alias("bytes")
+    )
+    # Equal least and greatest bytes: all lines behind the hash are the same.
+    mixed = stage(lines.groupBy("h").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).where("x <> y").select("h"), "line-collisions")
+    by = lambda side: F.col(side) == F.col("h")
+    same = repeated.join(mixed, by("h1"), "left_anti").join(mixed, by("h2"), "left_anti").where("later").select("at")
+    doubtful = repeated.join(mixed, by("h1"), "left_semi").select("at").union(repeated.join(mixed, by("h2"), "left_semi").select("at")).distinct()
+    asked = doubtful.groupBy(F.col("at._key").alias("_key")).agg(F.collect_set("at.line").alias("w"))
+    told = _keyed(texts, F.col("doc_id"), F.col("text")).join(asked, "_key").select("_key", "doc_id", F.explode(_lines_at(F.col("w"), 2)).alias("x"))
+    told = stage(told.select(F.struct("doc_id", "_key", "x.line").alias("at"), F.col("x.bytes").alias("bytes")).distinct(), "line-doubtful")
+    apart = told.join(told.groupBy("bytes").agg(F.min("at").alias("head")), "bytes").where("at <> head").select("at")
+    return same.union(apart).groupBy(F.col("at._key").alias("_key")).agg(F.collect_set("at.line").alias("removed"))
+
+
+def _without_runs(docs: DataFrame) -> DataFrame:
+    """``_row, _out``: the row, and what stays (``kept, n_lines, n_chunks``), null if all does."""
+    removed = stage(removed_pairs(docs), "line-removed")
+    covered = F.array_distinct(F.concat("removed", F.transform("removed", lambda i: i + 1)))
+    runs = F.transform(F.array(covered), lambda gone: F.struct(
+        gone.alias("gone"), F.size(F.array_except(gone, F.transform(gone, lambda i: i + 1))).alias("n_chunks")
+    ))
+    out = F.transform(F.arrays_zip(F.array(lines_of(F.col("_row.text"))).alias("lines"), runs.alias("runs")), lambda x: F.struct(
+        F.array_join(F.transform(
+            F.array_except(F.sequence(F.lit(1), F.size(x["lines"])), x["runs"]["gone"]), lambda i: F.get(x["lines"], i - 1)
+        ), "\n").alias("kept"),
+        F.size(x["runs"]["gone"]).alias("n_lines"), x["runs"]["n_chunks"].alias("n_chunks"),
+    ))
+    rows = _keyed(docs, F.struct("*").alias("_row")).join(removed, "_key", "left")
+    return rows.select("_row", F.when(F.col("removed").isNotNull(), F.get(out, F.lit(0))).alias("_out"))
+
+
+def _kept() -> Column:
+    return F.when(F.col("_out").isNull(), F.col("_row.text")).otherwise(F.col("_out.kept"))
+
+
+def run_dedup(docs: DataFrame) -> DataFrame:
+    """The documents without repeated runs of lines; columns as before."""
+    return _without_runs(docs).select(*[_kept().alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+
+
+def run_report(docs: DataFrame) -> DataFrame:
+    """As ``line_report``; ``n_removed_chunks`` counts the runs of lines that go."""
+    text = F.col("_row.text")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    return _without_runs(docs.select("doc_id", "text")).select(
+        F.col("_row.doc_id").alias("doc_id"), n_lines.cast("bigint").alias("n_lines"),
+        F.coalesce("_out.n_lines", F.lit(0)).cast("bigint").alias("n_removed_lines"),
+        F.coalesce("_out.n_chunks", F.lit(0)).cast("bigint").alias("n_removed_chunks"),
+        F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepane.llm.decontaminate import contamination
 from tidepane.llm.exact_dedup import exact_groups
 from tidepane.llm.jaccard import jaccard_components
-from tidepane.llm.line_chunks import line_report
+from tidepane.llm.line_chunks import run_report
 from tidepane.llm.pieces import sampled_encodings
 from tidepane.llm.pii import personal_data
 from tidepane.llm.quality import quality_scores
@@ -44,7 +44,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(load(spark, sf_dir, "documents"))
+    return run_report(load(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
