@@ -138,6 +138,19 @@ def test_contexts_find_unseen_identifiers(spark):
     assert out[3].spans == "ip:12:20"
 
 
+def test_contexts_learn_from_whole_identifiers(spark):
+    rows = [(i, f"Tel: +1 (614) 555-80{i}0 now") for i in range(4)] + [(10, "Tel: (614) 555 8001, now")]
+    rows += [(20 + i, f"Mail <{x}@example.com> or") for i, x in enumerate(("ann", "bob", "cy"))] + [(30, "Mail eve@local. Then"), (31, "a 12 3rd b 1 2")]
+    table = spark.createDataFrame(rows, DOC)
+    out = {r.doc_id: r for r in pii.personal_data(table).collect()}
+    assert out[10].spans == "context:5:19" and out[30].spans == "context:5:14" and out[31].spans == ""
+    assert out[0].spans == "phone:5:22" and out[20].spans == "email:6:21"
+    base = table.select("doc_id", F.explode(pii.base_spans(F.col("text"))).alias("b")).select("doc_id", "b.*").collect()
+    assert {(r.pattern, r.instance) for r in base if r.doc_id in (0, 20)} == {("tel:", "+1 (614) 555-8000"), ("mail", "ann@example.com")}
+    found = table.select("doc_id", F.explode(pii.candidates(F.col("text"))).alias("c")).where("doc_id = 31").select("c.*").collect()
+    assert [(r.pattern, r.instance) for r in found] == [("a", "12"), ("b", "1 2")]
+
+
 def test_line_chunks(spark, table, docs):
     want = plain.line_chunks(docs, lambda x: xxhash.xxh64_intdigest(x.encode(), 42))
     for r in line_chunks.line_report(table).collect():

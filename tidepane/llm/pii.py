@@ -1,8 +1,9 @@
 """Personal data (operator 9): fixed kinds by pattern, unseen identifiers by bootstrapped contexts.
 
 Base spans are leftmost non-overlapping matches per kind. They seed a graph of lexical patterns (the
-word or key just before an identifier) and instances (tokens with a digit, after a pattern). In
-every round a pattern's confidence is the share of trust among its distinct instances, and an
+word or key just before an identifier) and instances: the base spans as they are, and elsewhere
+whole candidates after a pattern (groups of digits with blanks between them, tokens with a digit or
+an @). In every round a pattern's confidence is the share of trust among its distinct instances, and an
 instance trusts its best pattern; patterns with enough trusted instances spread trust to instances
 that no base kind knows. What high-confidence patterns reach in the end is added, with the kind
 ``context``. Texts are scanned once, everything later works on the spans found, in DataFrame
@@ -30,9 +31,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: A word without digits before blanks, or a key with = or :, then a token with a digit.
-CANDIDATE = r"(?<!\S)(?:[^\s=:0-9]++[=:](?!\s)|[^\s0-9]++[ \t]++)[^\s=:0-9]*+[0-9][^\s=:]*+"
-CONTEXT = r"^([^\s=:0-9]++[=:](?!\s)|[^\s0-9]++[ \t]++)"
+#: A word without digits before blanks, or a key with = or :, at the start of a token.
+_BEFORE = r"(?<!\S)(?:[^\s=:0-9]++[=:](?!\s)|[^\s0-9]++[ \t]++)"
+#: Signs that may open an identifier without being part of it.
+_OPENING = r"""[<"'\[/]"""
+#: Groups of digits over single blanks up to a token's end, or a token with a digit or an @.
+_GROUP = r"[+(]*+[0-9][0-9().+-]*+"
+_WHOLE = rf"(?:{_GROUP}(?:\x20{_GROUP})*+(?![^\s,;!?>\x22'\]])|[^\s=:0-9@]*+[0-9@][^\s=:]*+)"
+CANDIDATE = rf"{_BEFORE}{_OPENING}*+{_WHOLE}"
+CONTEXT = rf"^({_BEFORE}){_OPENING}*+"
+#: The same before a base span, in the text since the last match.
+SEED_CONTEXT = rf"({_BEFORE})[<(\x22'\[/]*+$"
 
 ROUNDS = 3
 #: Distinct trusted instances that a pattern needs, and its confidence in thousandths.
@@ -41,17 +50,19 @@ CONFIDENT = 600
 
 
 def found(text: Column, pattern: str) -> Column:
-    """Matches as structs ``start, stop, hit``: places in code points, end exclusive."""
+    """Matches as structs ``start, stop, hit, gap``: places in code points, end exclusive; ``gap`` is
+    the text since the last match, after a 0 in its place."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda hit, gap: F.struct(hit.alias("hit"), F.length(gap).alias("gap")))
-    empty = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
+    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("text"), F.length(gap).alias("gap")))
+    empty = F.array().cast("array<struct<start:int,stop:int,hit:string,gap:string>>")
     return F.aggregate(
         pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda done, x: F.struct(
             (done["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
             F.concat(done["out"], F.array(F.struct(
                 (done["at"] + x["gap"]).alias("start"), (done["at"] + x["gap"] + F.length(x["hit"])).alias("stop"), x["hit"].alias("hit"),
+                F.when(done["at"] > 0, F.concat(F.lit("0"), x["text"])).otherwise(x["text"]).alias("gap"),
             ))).alias("out"),
         ),
         lambda done: done["out"],
@@ -81,7 +92,10 @@ def _valid(kind: str, hit: Column) -> Column:
 
 def _spans_of(text: Column, number: int, kind: str, pattern: str) -> Column:
     good = F.filter(found(text, pattern), lambda x: _valid(kind, x["hit"]))
-    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), x["stop"].alias("stop")))
+    return F.transform(good, lambda x: F.struct(
+        x["start"].alias("start"), F.lit(number).alias("kind_no"), x["stop"].alias("stop"),
+        F.lower(F.trim(F.regexp_extract(x["gap"], SEED_CONTEXT, 1))).alias("pattern"), x["hit"].alias("instance"),
+    ))
 
 
 def _of_kind(number: int) -> Column:
@@ -89,13 +103,14 @@ def _of_kind(number: int) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Structs ``start, kind_no, stop`` of all base kinds, by start and kind."""
+    """Structs ``start, kind_no, stop, pattern, instance`` of all base kinds, by start and kind; the
+    pattern is empty where no word or key stands before."""
     # A cheap look for what a match needs spares most texts the search.
     needs = {
         "email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]{2}|[0-9][ -][0-9]"),
         "phone": text.contains("+"),
     }
-    none = F.array().cast("array<struct<start:int,kind_no:int,stop:int>>")
+    none = F.array().cast("array<struct<start:int,kind_no:int,stop:int,pattern:string,instance:string>>")
     parts = []
     for number, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE))):
         parts.append(F.when(needs[kind], _spans_of(text, number, kind, pattern)).otherwise(none))
@@ -103,12 +118,12 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Structs ``pattern, instance, start, stop`` of tokens with a digit after a word or key."""
+    """Structs ``pattern, instance, start, stop`` of whole candidates after a word or key."""
 
     def cut(x: Column) -> Column:
-        context = F.regexp_extract(x["hit"], CONTEXT, 1)
-        token = F.regexp_replace(F.substring(x["hit"], F.length(context) + 1, F.length(x["hit"])), r"[.,;!?)]+$", "")
-        start = x["start"] + F.length(context)
+        context, skipped = F.regexp_extract(x["hit"], CONTEXT, 1), F.length(F.regexp_extract(x["hit"], CONTEXT, 0))
+        token = F.regexp_replace(F.substring(x["hit"], skipped + 1, F.length(x["hit"])), r"""[.,;!?)>"'\]]+$""", "")
+        start = x["start"] + skipped
         return F.struct(
             F.lower(F.trim(context)).alias("pattern"), token.alias("instance"), start.alias("start"), (start + F.length(token)).alias("stop"),
         )
@@ -126,7 +141,7 @@ def _join_spans(spans: Column) -> Column:
 def confident_pairs(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: int = CONFIDENT) -> DataFrame:
     """``pattern, instance`` pairs of unseen identifiers whose pattern is confident in the end.
 
-    ``seen``: ``pattern, instance, seed`` (1 if a base span covers an occurrence).
+    ``seen``: ``pattern, instance, seed`` (1 for base spans).
     """
     edges = stage(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
     trust = edges.groupBy("instance").agg((F.max("seed") * 1000).alias("trust"))
@@ -152,14 +167,17 @@ def personal_data(docs: DataFrame, **options: int) -> DataFrame:
         "pii-spans",
     )
     overlaps = F.exists("base", lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start")))
-    seen = scanned.select("key", "base", F.explode("candidates").alias("c")).select("key", "c.*", overlaps.cast("int").alias("seed"))
-    pairs = confident_pairs(seen.select("pattern", "instance", "seed"), **options)
+    # What touches a base span is not a candidate: the span itself is the instance.
+    unseen = scanned.select("key", "base", F.explode("candidates").alias("c")).where(~overlaps).select("key", "c.*")
+    seeds = scanned.select(F.explode("base").alias("b")).where("b.pattern <> ''").select("b.pattern", "b.instance", F.lit(1).alias("seed"))
+    pairs = confident_pairs(seeds.union(unseen.select("pattern", "instance", F.lit(0).alias("seed"))), **options)
     added = (
-        seen.where("seed = 0").join(pairs, ["pattern", "instance"]).groupBy("key")
+        unseen.join(pairs, ["pattern", "instance"]).groupBy("key")
         .agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "stop")).alias("added"))
     )
     counts = [F.size(_of_kind(n)).cast("bigint").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
-    every = F.array_sort(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")))
+    plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["stop"].alias("stop")))
+    every = F.array_sort(F.when(F.col("added").isNull(), plain).otherwise(F.concat(plain, "added")))
     return scanned.select("doc_id", "key", "base").join(added, "key", "left").select(
         "doc_id", *counts, F.sha2(_join_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _join_spans(every).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("bigint").alias("n_context"),
