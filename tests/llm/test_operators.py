@@ -215,6 +215,20 @@ def test_url_graph(spark):
     assert url_graph.judge_urls(empty(spark, "page_id bigint, url string, html string")).count() == 0
 
 
+def test_mixed_hosts_seed_and_masses_converge(spark):
+    page = lambda i, url, link="": (i, url, f'<a href="{link}">t</a>' if link else None)
+    rows = [page(1, "http://mixed.org/fr/1"), page(2, "http://mixed.org/x"), page(3, "http://mixed.org/y"), page(4, "http://mixed.org/z")]
+    rows += [page(10, "http://part.example.com/de/1"), page(11, "http://part.example.com/x"), page(12, "http://part.example.com/y")]
+    rows += [page(20 + i, f"http://h{i}.test/", f"http://h{i - 1}.test/" if i else "http://part.example.com/") for i in range(15)]
+    out = {r.page_id: r for r in url_graph.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out[2].trust > 0 and out[2].verdict == "allow" and out[11].distrust > 0 and out[11].verdict == "block"
+    assert all(out[20 + i].verdict == "block" and out[20 + i].distrust > 0 for i in range(15))
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    hosts = spark.createDataFrame([("a", 1, 0)], "host string, trust_seed bigint, distrust_seed bigint")
+    with pytest.raises(RuntimeError, match="still change"):
+        url_graph.propagate(hosts, ring, rounds=3)
+
+
 def test_samples_are_distinct_and_follow_the_lattice():
     vocabulary = pieces.Vocabulary(*pieces.Vocabulary.load(pieces.MODEL))
     lattices, text = pieces.Lattices(vocabulary), b"to be"
