@@ -273,6 +273,13 @@ def test_held_out_accuracy(spark, name, least):
     assert out.predicted[out.label == 1].mean() > 0.8 and out.predicted[out.label == 0].mean() < 0.4
 
 
+def test_statistics_mean_the_same_at_every_size():
+    words = [f"word{i:05d}" for i in range(5000)] + ["w" * 25]
+    short, long = (quality.statistics(" ".join(words[-n:]).encode()) for n in (1000, len(words)))
+    assert short[19] == long[19] == 25 / 20
+    assert (short[20], long[20]) == (1 / 1000, 1 / len(words))
+
+
 def test_classifiers_take_odd_rows(spark, table):
     none = empty(spark, "doc_id bigint, quality int, toxic int")
     labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, None, None), (9002, 0, 1), (9004, 0, 1)], none.schema)

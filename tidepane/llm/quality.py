@@ -35,7 +35,7 @@ _CLASSES = np.full(256, 7)
 _CLASSES[128:] = 0
 for _k, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'\"()-", b"!?"), 1):
     _CLASSES[list(_bytes)] = _k if _k < 7 else 8
-N_STATISTICS = 20
+N_STATISTICS = 21
 
 
 def statistics(text: bytes | None) -> np.ndarray:
@@ -59,7 +59,8 @@ def statistics(text: bytes | None) -> np.ndarray:
     out[16] = len(set(zip(words, words[1:], words[2:]))) / max(1, len(words) - 2)
     out[17] = text.count(b" | ") / len(words)
     out[18] = sum(len(x) == 1 for x in words) / len(words)
-    out[19] = max(map(len, distinct)) / 20 if len(distinct) < 4096 else sum(len(x) > 20 for x in distinct) / len(distinct)
+    out[19] = max(map(len, distinct)) / 20
+    out[20] = sum(len(x) > 20 for x in distinct) / len(distinct)
     return out
 
 
