@@ -55,6 +55,19 @@ def test_jaccard_near_copies_and_null_ids(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 100] and kept[0].n_links == "own"
 
 
+def test_jaccard_counts_every_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(0, 50, 2)]
+    texts += [" ".join(words)] * 3 + [" ".join(words[:k]) for k in range(50, 60)] + [texts[3], texts[3].upper()]
+    sets = [set(zip(*[t.lower().split()[i:] for i in range(3)])) for t in texts]
+    want = {
+        i: sum(100 * len(a & b) >= 90 * len(a | b) for b in sets) - 1
+        for i, a in enumerate(sets)
+    }
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOC), 3, 90).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+
+
 def test_allowances_may_be_moved(table, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "COSTLY", 0.0)
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table, 3, 90).collect()}

@@ -9,10 +9,11 @@ indexed. Costs decide how the allowance is spent: where the subsets of a segment
 cheaper segment gets 2, which means that its subsets are also indexed with any one element deleted.
 Candidates are verified on the shingles themselves, as words.
 
-Groups of copies are never expanded into pairs. Equal signatures are linked to one centre per batch
-and then per signature, centres are verified, and components are built. Only signatures that still
-join different components are looked at again: their members are compared in blocks, first by a
-parity sketch that bounds the symmetric difference from below, then exactly.
+Groups of copies are never expanded into pairs: equal word sequences stand behind one head, and
+their links are counted by class sizes. All pairs of heads that share a signature are candidates:
+members of a signature are compared in blocks, first by a parity sketch that bounds the symmetric
+difference from below, then exactly. Where only components are asked for, members are first
+compared with one centre, and blocks only for signatures that still join different components.
 
 Defined results: null text, empty text or text without words has an empty set, which is linked with
 nothing; fewer words than a shingle form one shingle; rows with null id are single and have a null
@@ -369,8 +370,9 @@ def _sketches(scheme: Scheme):
     return run
 
 
-def _left_over(shared: DataFrame, components: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs (``doc, hub``) of signatures that still join different components."""
+def _candidates(shared: DataFrame, components: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Candidate pairs (``doc, hub``) of signatures that join different components; who has none is
+    its own, so without components these are all candidates."""
     named = shared.select("sig", "doc").join(components.select(F.col("id").alias("doc"), "component"), "doc", "left")
     named = named.withColumn("component", F.coalesce("component", "doc"))
     open_ = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
@@ -398,11 +400,12 @@ def _left_over(shared: DataFrame, components: DataFrame, texts: DataFrame, schem
     return dealt.mapInArrow(_blocks(scheme), "doc bigint, hub bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, every_link: bool = True) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, n_links``.
 
-    ``component_id`` is the smallest id that links reach; ``n_links`` counts the links that were
-    verified with other texts, enough to connect the component.
+    ``component_id`` is the smallest id that links reach; ``n_links`` is the number of other
+    documents that the document is linked with, copies included. Without ``every_link``, ``n_links``
+    is left out and links between texts of one component are not looked for.
     """
     docs = docs.select("doc_id", "text")
     scheme = Scheme(n, num, den)
@@ -412,8 +415,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     sizes = survey.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
     known = sizes.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Documents of equal word sequences stand behind the smallest id among them.
-    heads = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
-    heads = stage(known.join(heads, "digest").select(F.col("doc_id").alias("doc"), "head").distinct(), "jaccard-heads")
+    heads = known.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("copies"))
+    heads = stage(known.join(heads, "digest").select(F.col("doc_id").alias("doc"), "head", "copies").distinct(), "jaccard-heads")
     copies = heads.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
 
     shared = _shared(docs, scheme)
@@ -424,25 +427,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     wanted = shared.select("doc").distinct()
     texts = docs.where("doc_id IS NOT NULL").join(wanted, docs["doc_id"] == wanted["doc"]).select("doc", "text")
     texts = stage(texts, "jaccard-texts")
-    links = stage(_verified(pairs, texts, scheme), "jaccard-links")
+    if every_link:
+        alone = shared.select(F.col("doc").alias("id"), F.col("doc").alias("component")).limit(0)
+        pairs = stage(_candidates(shared, alone, texts, scheme), "jaccard-candidates")
+        links = stage(_verified(pairs, texts, scheme).distinct(), "jaccard-links")
+    else:
+        links = stage(_verified(pairs, texts, scheme), "jaccard-links")
+        components = connected_components(links.union(copies))
+        more = stage(_verified(_candidates(shared, components, texts, scheme), texts, scheme), "jaccard-links")
+        links = links.union(more).distinct()
     components = connected_components(links.union(copies))
-    more = stage(_verified(_left_over(shared, components, texts, scheme), texts, scheme), "jaccard-links")
-    links = links.union(more).distinct()
-    components = connected_components(links.union(copies))
-    degrees = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    return (
-        sizes.join(components, sizes["doc_id"] == components["id"], "left")
-        .join(degrees, sizes["doc_id"] == degrees["a"], "left")
-        .select(
-            "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        )
+    named = sizes.join(components, sizes["doc_id"] == components["id"], "left")
+    named = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if not every_link:
+        return named
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    classes = heads.select(F.col("head").alias("b"), "copies").distinct()
+    near = both.join(classes, "b").groupBy(F.col("a").alias("head")).agg(F.sum("copies").alias("n"))
+    degrees = heads.join(near, "head", "left").groupBy(F.col("doc").alias("a")).agg(
+        F.sum(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    )
+    return named.join(degrees, named["doc_id"] == degrees["a"], "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Documents without near-duplicates: of each component the row with the smallest id stays, of
     rows that repeat it one; rows with null id stay. All columns are kept."""
-    found = jaccard_components(docs, n, num, den).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    found = jaccard_components(docs, n, num, den, every_link=False).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.join(found, docs["doc_id"] == found["_id"]).select(docs["*"])
     return rows.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))

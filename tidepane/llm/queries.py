@@ -24,7 +24,7 @@ def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(load(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(load(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
