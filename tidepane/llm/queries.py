@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepane.llm.decontaminate import contamination
 from tidepane.llm.exact_dedup import exact_groups
+from tidepane.llm.hard_negatives import hard_negatives
 from tidepane.llm.jaccard import jaccard_components
 from tidepane.llm.line_chunks import run_report
 from tidepane.llm.pieces import sampled_encodings
@@ -59,6 +61,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -66,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_url_graph, op2_jaccard_join, op3_toxicity, op4_pieces, op5_exact_dedup, op6_decontaminate, op7_line_chunks,
-            op8_suffix_dedup, op9_pii, op10_quality,
+            op8_suffix_dedup, op9_pii, op10_quality, op13_hard_negatives,
         )
     }
 
@@ -78,5 +85,21 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_OP13 = """
+WITH taken AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS whole FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT * FROM taken WHERE vec_id % 50 = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, CAST(list_inner_product(a.whole, r.whole) AS BIGINT) AS score
+  FROM anchors a JOIN taken r ON a.vec_id <> r.vec_id),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored USING (anchor_id) WHERE NOT alike AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5}
+    return {"op5_exact_dedup": _OP5, "op13_hard_negatives": _OP13}
