@@ -19,6 +19,7 @@ from tidepane.llm.suffix_dedup import suffix_dedup
 from tidepane.llm.tables import load
 from tidepane.llm.toxicity import toxicity
 from tidepane.llm.url_graph import judge_urls
+from tidepane.llm.variants import spelling_variants
 
 
 def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(load(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(load(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
@@ -73,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_url_graph, op2_jaccard_join, op3_toxicity, op4_pieces, op5_exact_dedup, op6_decontaminate, op7_line_chunks,
-            op8_suffix_dedup, op9_pii, op10_quality, op13_hard_negatives,
+            op8_suffix_dedup, op9_pii, op10_quality, op12_variants, op13_hard_negatives,
         )
     }
 
@@ -85,6 +90,30 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_OP12 = r"""
+WITH RECURSIVE bytes AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS named
+  FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(range(1, CAST(length(named) AS BIGINT), 2), lambda i: CAST('0x' || substr(named, i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS h FROM counted, bytes),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+less AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(p)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+  CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS last, form AS next FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word)
+SELECT f.word, n, n_near, form, form_n, last AS root FROM formed f JOIN chain c ON f.word = c.word AND c.next IS NULL
+"""
+
 _OP13 = """
 WITH taken AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS whole FROM embeddings
@@ -102,4 +131,4 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QU
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op13_hard_negatives": _OP13}
+    return {"op5_exact_dedup": _OP5, "op12_variants": _OP12, "op13_hard_negatives": _OP13}
