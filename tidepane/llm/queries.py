@@ -15,6 +15,7 @@ from tidepane.llm.line_chunks import run_report
 from tidepane.llm.pieces import sampled_encodings
 from tidepane.llm.pii import personal_data
 from tidepane.llm.quality import quality_scores
+from tidepane.llm.secret_scan import secret_report
 from tidepane.llm.suffix_dedup import suffix_dedup
 from tidepane.llm.tables import load
 from tidepane.llm.toxicity import toxicity
@@ -62,6 +63,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(load(spark, sf_dir, "documents"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(load(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_url_graph, op2_jaccard_join, op3_toxicity, op4_pieces, op5_exact_dedup, op6_decontaminate, op7_line_chunks,
-            op8_suffix_dedup, op9_pii, op10_quality, op12_variants, op13_hard_negatives,
+            op8_suffix_dedup, op9_pii, op10_quality, op11_secrets, op12_variants, op13_hard_negatives,
         )
     }
 
