@@ -1,15 +1,15 @@
 """Secret scans (operator 11): fixed kinds by pattern, others by two character Markov models.
 
-Texts are cut into pieces (runs of letters and digits). Labelled samples come from the base kinds:
-pieces inside their values are random strings, pieces that stand nowhere else but outside are
-ordinary identifiers; what is seen in both is left out. Each distinct piece counts once, so copies
-and frequent words weigh no more than others. Two Markov models of order ``ORDER`` are counted over all
-samples, the shorter contexts standing in for unseen ones (Witten-Bell). As unmarked secrets are among the ordinary
-samples at first, those that look random to the first models are taken out and the ordinary model
-is counted again. A piece is a secret if its log-likelihood ratio, random over ordinary, reaches
-``LEAST`` in total and ``LEAST_EACH`` per character, and has ``LEAST_SIGNS`` different characters (a drawn-out
-letter is rare in both models, but not random). Neighbouring secret pieces joined by one of
-``JOINERS`` are one span, of the kind ``random``; what touches a base span is not added again.
+Texts are cut into pieces (runs of letters and digits). Labelled samples come from the texts: pieces
+inside values of base spans are random strings; numbers, and pieces that stand after different texts,
+are ordinary identifiers, as a secret stands in one place and its copies. What is seen both inside
+and outside of base values is left out. Each distinct piece counts once, so frequent words weigh no
+more than others; ordinary ones count in capitals, too. Two Markov models of order ``ORDER`` are counted over all samples, the shorter contexts
+standing in for unseen ones (Witten-Bell). A piece is a secret if its log-likelihood ratio, random
+over ordinary, reaches ``LEAST`` in total and ``LEAST_EACH`` per character, and has ``LEAST_SIGNS``
+different characters (a drawn-out letter is rare in both models, but not random). Neighbouring
+secret pieces joined by one of ``JOINERS`` are one span, of the kind ``random``; what touches a base
+span is not added again.
 
 All texts train and all are scanned. What the driver holds are counts by context and character,
 bounded by the alphabet.
@@ -22,6 +22,7 @@ columns are not read; texts of any length are read whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 PIECE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{8,}")
 JOINERS = "+/_=-"
+#: Characters before a piece that tell one place from another.
+BEFORE = 12
 
 ORDER = 2
+#: Share of all signs, evenly, in the random model: secrets may use other signs than the samples.
+EVEN = 0.5
 LEAST = 20.0
 LEAST_EACH = 1.0
 LEAST_SIGNS = 6
@@ -93,21 +98,27 @@ def _pieces(text: str, base: list[tuple[int, int, int, int, int]]) -> Iterator[t
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pieces of a batch: least and greatest hash of what stands before, and of the label."""
     for batch in batches:
-        seen: set[tuple[str, bool]] = set()
+        seen: dict[str, tuple[int, int, bool, bool]] = {}
         for text in batch.column(0).to_pylist():
-            if text:
-                seen.update((piece, inside) for piece, _, _, touches, inside in _pieces(text, base_spans(text)) if inside or not touches)
-        rows = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([r for _, r in rows], pa.bool_())], ["piece", "random"])
+            for piece, start, _, touches, inside in _pieces(text, base_spans(text)) if text else ():
+                if inside or not touches:
+                    before = zlib.crc32(text[max(0, start - BEFORE) : start].encode())
+                    least, most, ever, always = seen.get(piece, (before, before, inside, inside))
+                    seen[piece] = (min(least, before), max(most, before), ever or inside, always and inside)
+        columns = [list(seen), *(zip(*seen.values()) if seen else ([], [], [], []))]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["piece", "least", "most", "ever", "always"])
 
 
 def samples(docs: DataFrame) -> DataFrame:
     """``piece, random``: the distinct labelled samples of all texts."""
-    seen = docs.select("text").mapInArrow(_samples, "piece string, random boolean")
+    seen = docs.select("text").mapInArrow(_samples, "piece string, least bigint, most bigint, ever boolean, always boolean")
+    ordinary = ~F.col("ever") & (F.col("piece").rlike("^[0-9]+$") | (F.col("least") < F.col("most")))
     return (
-        seen.groupBy("piece").agg(F.max("random").alias("random"), F.min("random").alias("always"))
-        .where("random = always").select("piece", "random")
+        seen.groupBy("piece").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("ever").alias("ever"), F.min("always").alias("always"))
+        .where(F.col("always") | ordinary).select("piece", F.col("always").alias("random"))
     )
 
 
@@ -130,6 +141,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = batch.column("piece").to_pylist()
         for label in (0, 1):
             part = [p for p, r in zip(pieces, random) if r == bool(label)]
+            if not label:  # words in capitals are as ordinary
+                part += [p.upper() for p in part if not p.isupper() and not p.isdigit()]
             if part:
                 np.add.at(total[label], _cells(part)[0], 1)
     label, cell = np.nonzero(total)
@@ -154,7 +167,8 @@ class Models:
     """The ratio of both models for every context and character."""
 
     def __init__(self, counts: np.ndarray):
-        self.ratio = (_model(counts[1]) - _model(counts[0])).astype(np.float32)
+        random = np.logaddexp(np.log1p(-EVEN) + _model(counts[1]), np.log(EVEN / len(_SIGNS)))
+        self.ratio = (random - _model(counts[0])).astype(np.float32)
 
     def ratios(self, pieces: list[str]) -> np.ndarray:
         cells, starts = _cells(pieces)
@@ -177,22 +191,8 @@ def count_models(labelled: DataFrame) -> Models | None:
     return Models(counts) if counts.sum(axis=1).all() else None
 
 
-def _taken(models: Models):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doubtful = models.secret(batch.column("piece").to_pylist())
-            random = batch.column("random").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(random | ~doubtful))
-
-    return run
-
-
 def train(docs: DataFrame) -> Models | None:
-    labelled = stage(samples(docs), "secret-samples")
-    first = count_models(labelled)
-    if first is None:
-        return None
-    return count_models(labelled.mapInArrow(_taken(first), labelled.schema)) or first
+    return count_models(stage(samples(docs), "secret-samples"))
 
 
 def _merged(spans: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
