@@ -43,6 +43,8 @@ PLANES = 7
 #: Components of the rows of one slice, and pairs that are estimated at once.
 SLICE = 1 << 22
 PAIRS = 1 << 19
+#: Rows of the first chunk, whose scores bound those that follow; later chunks double.
+FIRST = 256
 #: Pairs that are refined or scored at once.
 PIECE = 1 << 16
 
@@ -242,9 +244,11 @@ class Search:
         self.least[full[:, 0], full[:, 1]] = np.maximum(self.least[full[:, 0], full[:, 1]], full[:, 2])
 
     def run(self) -> np.ndarray:
-        step = max(1, PAIRS // max(1, len(self.own_row)))
-        for start in range(0, len(self.rows), step):
-            self.chunk(start, min(len(self.rows), start + step))
+        most, start, step = max(1, PAIRS // max(1, len(self.own_row))), 0, FIRST
+        while start < len(self.rows):
+            stop = min(len(self.rows), start + min(step, most))
+            self.chunk(start, stop)
+            start, step = stop, 2 * step
         return self.found
 
 
@@ -325,7 +329,7 @@ def _best(index: DataFrame, anchors: DataFrame, slices: int, k: int, same_label:
     held = index.select(slice_no.alias("slice"), F.lit(0).alias("kind"), "*", empty.alias("low"), empty.alias("high"))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     asked = anchors.select(everywhere.alias("slice"), F.lit(1).alias("kind"), "*")
-    dealt = held.unionByName(asked, allowMissingColumns=True).repartition(slices, "slice").sortWithinPartitions("slice", "kind", "row")
+    dealt = held.unionByName(asked, allowMissingColumns=True).repartitionById(slices, "slice").sortWithinPartitions("slice", "kind", "row")
     found = dealt.mapInArrow(_scan(k, same_label, width), "row bigint, target int, score bigint, vec_id bigint")
     order = W.partitionBy("row", "target").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
