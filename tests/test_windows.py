@@ -4,9 +4,10 @@ import random
 
 import pytest
 from brute import brute_force, expected
+from pyspark.sql import functions as F
 
 from tidepane import (
-    AVG, COUNT, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, WindowSpec,
+    Aggregate, AVG, COUNT, GEOMEAN, MAX, MIN, Partial, PRODUCT, RANGE, STD, SUM, SUMSQ, WindowSpec,
     sliding_current, sliding_final, sliding_panes, sliding_revised, sliding_versions,
 )
 from tidepane.plans.native import native_windows
@@ -249,3 +250,44 @@ def test_without_lateness_bound_final_equals_native_window(spark):
     rows = random_rows(8, 300)
     assert ms(min(final)) == (rows[0][1] // 6000 + 1) * 6000
     assert ms(max(final)) == (max(ts for _, ts, _ in rows) // 6000 + 1) * 6000
+
+
+@pytest.mark.parametrize("copy_width", [0, 64])
+def test_deviation_far_from_zero(spark, copy_width, monkeypatch):
+    """Doubles a billion away from zero, nulls among them; sums of squares would cancel."""
+    monkeypatch.setattr(intervals, "COPY_WIDTH", copy_width)
+    rows = random_rows(21, 300)
+    moved = [(seq, ts, None if seq % 11 == 0 else 1e9 + value) for seq, ts, value in rows]
+    want, _ = brute_force([(s, t, -1 if v is None else v) for s, t, v in moved], 32000, 2000, 24000)
+    got = sliding_versions(make(spark, moved), DEFAULT, [STD]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        values = [v - 1e9 for v in want[ms(r["window_end"]) // 2000 - 1, ms(r["epoch_end"]) // 2000 - 1][0] if v != -1]
+        assert r["std"] == (pytest.approx(expected(values)["std"], abs=1e-6) if values else None)
+    two = sliding_current(seconds(spark, [(0, 1e9), (1, 1e9 + 1), (2, 0)]), DEFAULT, [STD])
+    assert by_end(two, "std")[2] == 0.5
+
+
+def test_joint_state_of_a_user(spark):
+    """The value seen first, with its time: both parts of the state only mean something together."""
+    first = Aggregate(
+        "opening",
+        (Partial.joint(
+            "opening", lambda v: F.struct(F.min("seq").alias("seq"), F.min_by(v, "seq").alias("value")),
+            lambda a, b: F.when(a["seq"] <= b["seq"], a).otherwise(b),
+        ),),
+        lambda state: state["value"],
+    )
+    rows = random_rows(22, 200)
+    got = sliding_current(make(spark, rows), DEFAULT, [first]).collect()
+    order = {(ts, value): seq for seq, ts, value in rows}
+    mx, kept = None, []
+    for seq, ts, value in rows:
+        mx = ts if mx is None else max(mx, ts)
+        if mx - ts <= 24000:
+            kept.append((seq, ts, value, mx // 2000))
+    assert got and len(order) == len(rows)
+    for r in got:
+        w = ms(r["window_end"]) // 2000 - 1
+        inside = [(seq, value) for seq, ts, value, a in kept if (w + 1) * 2000 - 32000 <= ts < (w + 1) * 2000 and a <= w]
+        assert r["opening"] == min(inside)[1]

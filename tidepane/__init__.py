@@ -3,6 +3,7 @@
 from tidepane.functions.aggregates import (
     AVG,
     COUNT,
+    EXACT_STD,
     GEOMEAN,
     MAX,
     MIN,
@@ -24,7 +25,7 @@ from tidepane.plans.sliding import (
 from tidepane.spec import WindowSpec
 
 __all__ = [
-    "AVG", "COUNT", "GEOMEAN", "MAX", "MIN", "PRODUCT", "RANGE", "STD", "SUM", "SUMSQ",
+    "AVG", "COUNT", "EXACT_STD", "GEOMEAN", "MAX", "MIN", "PRODUCT", "RANGE", "STD", "SUM", "SUMSQ",
     "Aggregate", "Partial", "WindowSpec",
     "sliding_current", "sliding_final", "sliding_panes", "sliding_revised", "sliding_versions",
 ]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepane.functions.aggregates import Fold
 from tidepane.functions.slides import floor_div
 
-Folds = dict[str, Callable[[Column], Column]]
+Folds = dict[str, Fold]
 
 # Up to this width a state is simply copied to its positions: sorting would cost more.
 COPY_WIDTH = 256
@@ -87,7 +88,9 @@ def merge_over_intervals(
         .repartition(shuffle_partitions(df), *groups, "_block")
     )
     side = [*groups, "_block", "_side"]
-    steps = cut.groupBy(*side, "_at").agg(*[fold(F.col(c)).alias(c) for c, fold in folds.items()])
+    steps = cut.groupBy(*side, "_at").agg(
+        *[fold.grouped(F.col(c)).alias(c) for c, fold in folds.items()]
+    )
     order = W.partitionBy(*side).orderBy("_at")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     block_end = F.when(F.col("_side") == 1, (F.col("_block") + 1) * width - 1).otherwise(
@@ -95,7 +98,7 @@ def merge_over_intervals(
     )
     held = steps.withColumns({
         "_upto": F.coalesce(F.lead("_at").over(order) - 1, block_end),
-        **{c: fold(F.col(c)).over(so_far) for c, fold in folds.items()},
+        **{c: fold.over(F.col(c), so_far) for c, fold in folds.items()},
     })
     accumulated = held.withColumn("_x", F.explode(F.sequence("_at", "_upto"))).select(
         *groups, *folds, (F.col("_side") * F.col("_x")).alias(position)

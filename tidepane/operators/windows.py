@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepane.functions.aggregates import Aggregate, state_of
+from tidepane.functions.aggregates import Aggregate, Fold, state_of
 from tidepane.functions.slides import first_window_of, last_window_of, slide_end, window_start
 from tidepane.operators import intervals
 from tidepane.operators.intervals import (
@@ -119,11 +119,11 @@ def closings(
 
 def window_folds(aggs: Iterable[Aggregate]) -> Folds:
     """How the columns of a window merge: its row count and its states."""
-    return {"n": F.sum, **{name: part.merge for name, (_, part) in state_of(aggs).items()}}
+    return {"n": Fold(F.sum), **{name: part.fold for name, (_, part) in state_of(aggs).items()}}
 
 
 def fold_columns(folds: Folds) -> list[Column]:
-    return [fold(F.col(name)).alias(name) for name, fold in folds.items()]
+    return [fold.grouped(F.col(name)).alias(name) for name, fold in folds.items()]
 
 
 def empty_windows(closed: DataFrame, like: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -272,7 +272,7 @@ def window_versions(
     if epochs is None:
         epochs = stream_epochs(panes, spec, keys)
     if continued:
-        folds["emit_from"] = F.max
+        folds["emit_from"] = Fold(F.max)
     closed_panes = bounds.attach(panes, groups).filter(
         (F.col("epoch") <= last_epoch(spec)) & (F.col("emit_from") <= last_epoch(spec))
     )
@@ -294,7 +294,7 @@ def window_versions(
     )
     so_far = W.partitionBy(*groups, "w").orderBy("e").rowsBetween(W.unboundedPreceding, 0)
     versions = merged.withColumns({
-        name: fold(F.col(name)).over(so_far) for name, fold in folds.items()
+        name: fold.over(F.col(name), so_far) for name, fold in folds.items()
     })
     if continued:
         versions = versions.filter(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidepane.functions.aggregates import (
-    AVG, COUNT, COUNT_STATE, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, Aggregate, Partial,
+    AVG, COUNT, COUNT_STATE, EXACT_STD, GEOMEAN, MAX, MIN, PRODUCT, RANGE, STD, SUM, SUMSQ, Aggregate, Partial,
 )
 from tidepane.functions.messages import format_current, format_revision
 from tidepane.functions.slides import slide_end
@@ -31,6 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPEC = WindowSpec.of("32 min", "2 min", "24 min")
 LONG = WindowSpec.of("12 h", "2 min", "24 min")
 UNEVEN = WindowSpec.of("33 min", "6 min", "24 min")
+COARSE = WindowSpec.of("6 h", "30 min", "24 min")
 STREAM_BATCHES = 4
 
 # A user-defined aggregate: the share of values above 100.
@@ -39,9 +40,10 @@ LARGE_SHARE = Aggregate(
     (COUNT_STATE, Partial("large", lambda v: F.count_if(v > 100), F.sum)),
     lambda n, large: F.when(n > 0, large.cast("double") / n),
 )
+TWO_DIGITS = Aggregate("std", STD.partials, lambda m: F.round(STD.finish(m), 2))
 # Aggregates whose state is exact; the results are compared as doubles.
 EXACT = [
-    MIN, MAX, SUM, AVG, STD, RANGE, COUNT, SUMSQ, LARGE_SHARE,
+    MIN, MAX, SUM, AVG, EXACT_STD, RANGE, COUNT, SUMSQ, LARGE_SHARE,
 ]
 
 
@@ -88,6 +90,16 @@ def windows(run, agg_list, spec=SPEC, keys=(), **options) -> Query:
     return query
 
 
+def far_from_zero(run, **options) -> Query:
+    """Standard deviation of doubles a billion away from zero, to two digits."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = load(spark, sf_dir).withColumn("value", F.col("value").cast("double") + 1e9)
+        return run(rows, COARSE, [TWO_DIGITS], **options)
+
+    return query
+
+
 def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_progress(load(spark, sf_dir), SPEC).select("seq", "ts_ms", "progress_ms", "lateness_ms")
 
@@ -114,7 +126,7 @@ def late_accepted(progressed: DataFrame, spec: WindowSpec) -> DataFrame:
 
 def pane_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = accepted(with_progress(load(spark, sf_dir), SPEC), SPEC)
-    panes = build_panes(kept, SPEC, [STD, RANGE])
+    panes = build_panes(kept, SPEC, [EXACT_STD, RANGE])
     return panes.select(
         "pane", "epoch", "n",
         *[F.col(f"value__{kind}").cast("double").alias(kind) for kind in ("sum", "sumsq", "min", "max")],
@@ -170,7 +182,7 @@ def messages(run, formatted) -> Query:
 
 def native_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, in_order=True).withColumn("ts", F.timestamp_millis("ts_ms"))
-    return native_windows(rows, SPEC, [shown(SUM), shown(STD)])
+    return native_windows(rows, SPEC, [shown(SUM), shown(EXACT_STD)])
 
 
 def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame], StreamingQuery]) -> None:
@@ -188,20 +200,16 @@ def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame], St
         start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
-def stream_exact(keys=()) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = fresh_path(spark, "exact")
-        job = ExactStream(
-            SPEC, [shown(a) for a in (SUM, STD, RANGE)], keys,
-            state_dir=f"{base}/state", out_dir=f"{base}/out",
-        )
-        replay(
-            spark, load(spark, sf_dir, keys),
-            lambda feed: job.start(feed, f"{base}/checkpoint", availableNow=True),
-        )
-        return job.results(spark).drop("batch")
+def streamed(rows: DataFrame, spec: WindowSpec, aggs: list[Aggregate], keys=(), **options) -> DataFrame:
+    """All window versions, from a stream of the rows in a few micro-batches."""
+    spark, base = rows.sparkSession, fresh_path(rows.sparkSession, "exact")
+    job = ExactStream(spec, aggs, keys, state_dir=f"{base}/state", out_dir=f"{base}/out", **options)
+    replay(spark, rows, lambda feed: job.start(feed, f"{base}/checkpoint", availableNow=True))
+    return job.results(spark).drop("batch")
 
-    return query
+
+def stream_exact(keys=()) -> Query:
+    return windows(streamed, [SUM, EXACT_STD, RANGE], keys=keys)
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +217,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fresh_path(spark, "upsert")
 
     def start(feed: DataFrame) -> StreamingQuery:
-        changes = upsert_feed(feed, SPEC, [shown(SUM), shown(STD)])
+        changes = upsert_feed(feed, SPEC, [shown(SUM), shown(EXACT_STD)])
         return start_upsert_feed(changes, f"{base}/out", f"{base}/checkpoint", availableNow=True)
 
     replay(spark, rows, start)
@@ -238,31 +246,34 @@ def queries() -> dict[str, Query]:
         "slide_epoch_assign": slide_epoch_assign,
         "pane_partials": pane_partials,
     }
-    for agg in (MIN, MAX, SUM, AVG, STD, RANGE, COUNT, SUMSQ, GEOMEAN):
+    for agg in (MIN, MAX, SUM, AVG, EXACT_STD, RANGE, COUNT, SUMSQ, GEOMEAN):
         found[f"current_{agg.name}"] = windows(sliding_current, [agg])
     found["current_product"] = current_product
     found["current_custom_agg"] = windows(sliding_current, [LARGE_SHARE])
-    for agg in (MIN, MAX, SUM, AVG, STD, RANGE):
+    for agg in (MIN, MAX, SUM, AVG, EXACT_STD, RANGE):
         found[f"revised_{agg.name}"] = windows(sliding_revised, [agg])
     found |= {
         "window_versions": windows(sliding_versions, EXACT),
         "final_windows": windows(sliding_final, EXACT),
         "lead_in_windows": windows(sliding_current, [SUM, COUNT], lead_in_only=True),
-        "nondivisible_window": windows(sliding_versions, [SUM, STD, RANGE], UNEVEN),
-        "nondivisible_final": windows(sliding_final, [SUM, STD, RANGE], UNEVEN),
-        "long_window_versions": windows(sliding_versions, [SUM, STD, RANGE], LONG),
+        "nondivisible_window": windows(sliding_versions, [SUM, EXACT_STD, RANGE], UNEVEN),
+        "nondivisible_final": windows(sliding_final, [SUM, EXACT_STD, RANGE], UNEVEN),
+        "long_window_versions": windows(sliding_versions, [SUM, EXACT_STD, RANGE], LONG),
         "long_window_current": windows(sliding_current, [AVG, MIN], LONG),
         "long_window_final": windows(sliding_final, [SUM, MAX], LONG, ("event_type",)),
         "densified_windows": windows(
             sliding_versions, [SUM, COUNT, AVG], SPEC.with_options(emit_empty=True)
         ),
         "flushed_windows": windows(sliding_versions, [SUM, RANGE], SPEC.with_options(flush=True)),
-        "keyed_windows": windows(sliding_versions, [SUM, STD, RANGE], keys=("event_type",)),
+        "keyed_windows": windows(sliding_versions, [SUM, EXACT_STD, RANGE], keys=("event_type",)),
         "keyed_current": windows(sliding_current, [AVG, COUNT], keys=("event_type",)),
-        "origin_first": windows(sliding_versions, [SUM, STD], SPEC.with_options(origin="first")),
+        "origin_first": windows(sliding_versions, [SUM, EXACT_STD], SPEC.with_options(origin="first")),
         "keyed_origin_first": windows(
             sliding_current, [SUM, MAX], SPEC.with_options(origin="first"), keys=("event_type",)
         ),
+        "current_std_double": far_from_zero(sliding_current),
+        "revised_std_double": far_from_zero(sliding_revised),
+        "stream_std_double": far_from_zero(streamed),
         "tumbling_windows": windows(sliding_versions, [SUM, AVG], SPEC.with_options(slide_ms=SPEC.window_ms)),
         "native_windows": native_final,
         "format_current": messages(sliding_current, format_current),
@@ -332,6 +343,9 @@ def oracle_sql() -> dict[str, str]:
         "keyed_origin_first": sql.versions_sql(
             SPEC.with_options(origin="first"), ["sum", "max"], key="event_type", which="current"
         ),
+        "current_std_double": std_sql("current"),
+        "revised_std_double": std_sql("revised"),
+        "stream_std_double": std_sql("all"),
         "tumbling_windows": sql.versions_sql(
             SPEC.with_options(slide_ms=SPEC.window_ms), ["sum", "avg"]
         ),
@@ -353,6 +367,12 @@ def oracle_sql() -> dict[str, str]:
     return {name: found[name] for name in queries()}
 
 
+def std_sql(which: str) -> str:
+    """Deviations do not change when all values move by the same amount."""
+    states, std = sql.RESULTS["std"]
+    return sql.versions_sql(COARSE, [], which=which, extra_states=states, extra={"std": f"round({std}, 2)"})
+
+
 def native_sql() -> str:
     """Every window of the in-order stream, without the bounds of stream progress."""
     total, std = sql.RESULTS["sum"][1], sql.RESULTS["std"][1]
