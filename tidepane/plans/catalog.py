@@ -20,7 +20,7 @@ from tidepane.plans.native import native_windows
 from tidepane.plans.sliding import (
     sliding_current, sliding_final, sliding_revised, sliding_versions,
 )
-from tidepane.sources import arrivals, parse_lines, read_lines, rejected
+from tidepane.sources import arrivals, line_arrivals, parse_lines, read_lines, rejected
 from tidepane.sources.lines import DOCUMENTED_PATTERN
 from tidepane.sources.shared import fresh_path
 from tidepane.spec import WindowSpec
@@ -153,17 +153,55 @@ def parsed_lines(pattern: str | None) -> Query:
     return query
 
 
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Append ``event_id, ms, value`` as text lines in arrival order."""
+    ordered = rows.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ordered.select(F.concat_ws(",", "ms", "value")).write.mode("append").text(path)
+
+
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", disordered_ms().alias("ms"), "value")
+
+
 def line_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the stream as text files, read them back numbered by line, and aggregate."""
     path = fresh_path(spark, "lines")
-    stamped = events(spark, sf_dir).select("event_id", disordered_ms().alias("ms"), "value")
-    ordered = stamped.repartitionByRange("event_id").sortWithinPartitions("event_id")
-    ordered.select(F.concat_ws(",", "ms", "value")).write.text(path)
+    write_lines(stamped(spark, sf_dir), path)
     lines = parse_lines(read_lines(spark, "text", streaming=False, file_order="path", path=path))
     rows = arrivals(lines, values={"value": F.col("value").cast("decimal(18,2)")})
     return sliding_current(rows, SPEC, [shown(SUM), shown(MAX)], emitted_at=False)
 
 
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions from a stream of text lines that carry no arrival number; some cannot be read."""
+    path, base = fresh_path(spark, "lines"), fresh_path(spark, "exact")
+    job = ExactStream(
+        SPEC, [shown(SUM), shown(MAX)], state_dir=f"{base}/state", out_dir=f"{base}/out",
+        prepare=line_arrivals(mode="drop", values={"value": F.col("value").cast("decimal(18,2)")}),
+    )
+    table = stamped(spark, sf_dir)
+    broken = F.when(F.col("event_id") % 50 == 0, F.lit("abc")).otherwise(F.col("ms").cast("string"))
+    noise = table.where("event_id % 50 = 0").withColumn("ms", broken)
+    lines = table.withColumn("ms", F.col("ms").cast("string")).union(noise)
+
+    def start(path: str) -> StreamingQuery:
+        feed = read_lines(spark, "text", file_order="path", path=path)
+        return job.start(feed, f"{base}/checkpoint", availableNow=True)
+
+    in_parts(lines, "event_id", write_lines, path, start)
+    return job.results(spark).drop("batch")
+
+
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of a running query, as its micro-batches have written them."""
+    base = fresh_path(spark, "exact")
+    job = ExactStream(
+        SPEC, [SUM], state_dir=f"{base}/state", out_dir=f"{base}/out", messages="sum", message_format=DOCUMENTED_PATTERN,
+    )
+    replay(spark, load(spark, sf_dir), lambda feed: job.start(feed, f"{base}/checkpoint", availableNow=True))
+    return job.message_lines(spark).select("emitted_at", "value")
+
+
 def current_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sliding_current(load(spark, sf_dir), SPEC, [PRODUCT])
     tens = magnitude(F.col("product"))
@@ -185,19 +223,31 @@ def native_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native_windows(rows, SPEC, [shown(SUM), shown(EXACT_STD)])
 
 
-def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """Feed rows to a streaming job in ranges of arrivals, one micro-batch each.
+def in_parts(
+    rows: DataFrame, order: str, write: Callable[[DataFrame, str], None], path: str, start: Callable[[str], StreamingQuery]
+) -> None:
+    """Write rows in ranges of arrivals and run a streaming job after each, one micro-batch a range.
 
     Every range is written by as many tasks as it was read by. The job is started anew for each
     one and goes on from its checkpoint.
     """
-    path = fresh_path(spark, "feed")
-    last = rows.agg(F.max("seq")).first()[0] or 0
+    last = rows.agg(F.max(order)).first()[0] or 0
     step = -(-(last + 1) // STREAM_BATCHES)
     for low in range(0, last + 1, step):
-        part = rows.filter((F.col("seq") >= low) & (F.col("seq") < low + step))
+        write(rows.filter((F.col(order) >= low) & (F.col(order) < low + step)), path)
+        start(path).awaitTermination()
+
+
+def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Feed arrivals to a streaming job as Parquet files."""
+
+    def write(part: DataFrame, path: str) -> None:
         part.write.mode("append").parquet(path)
-        start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+
+    def read(path: str) -> StreamingQuery:
+        return start(spark.readStream.schema(rows.schema).parquet(path))
+
+    in_parts(rows, "seq", write, fresh_path(spark, "feed"), read)
 
 
 def streamed(rows: DataFrame, spec: WindowSpec, aggs: list[Aggregate], keys=(), **options) -> DataFrame:
@@ -280,6 +330,9 @@ def queries() -> dict[str, Query]:
         "format_revision": messages(sliding_versions, format_revision),
         "stream_exact": stream_exact(),
         "stream_exact_keyed": stream_exact(("event_type",)),
+        "stream_exact_users": stream_exact(("user_id",)),
+        "stream_lines_exact": stream_lines,
+        "stream_messages": stream_messages,
         "stream_upsert": stream_upsert,
     }
     return found
@@ -353,17 +406,22 @@ def oracle_sql() -> dict[str, str]:
         "stream_upsert": native_sql(),
         "stream_exact": sql.versions_sql(SPEC, ["sum", "std", "range"]),
         "stream_exact_keyed": sql.versions_sql(SPEC, ["sum", "std", "range"], key="event_type"),
+        "stream_exact_users": sql.versions_sql(SPEC, ["sum", "std", "range"], key="user_id"),
+        "stream_lines_exact": sql.versions_sql(SPEC, ["sum", "max"]),
     }
     for name in ("min", "max", "sum", "avg", "std", "range", "count", "sumsq", "geomean"):
         found[f"current_{name}"] = sql.versions_sql(SPEC, [name], which="current")
     for name in ("min", "max", "sum", "avg", "std", "range"):
         found[f"revised_{name}"] = sql.versions_sql(SPEC, [name], which="revised")
+    said = []
     for name, (which, before, stamp, between) in texts.items():
         inner = sql.versions_sql(
             SPEC, [], which=which, extra_states=["total"], extra={"shown": "CAST(total AS VARCHAR)"}
         )
-        found[name] = f"""SELECT '{before}' || strftime({stamp}, '%Y.%-m.%-d %H:%M:%S')
-            || '{between}' || shown AS value FROM ({inner})"""
+        value = f"""'{before}' || strftime({stamp}, '%Y.%-m.%-d %H:%M:%S') || '{between}' || shown AS value"""
+        found[name] = f"SELECT {value} FROM ({inner})"
+        said.append(f"SELECT emitted_at, {value} FROM ({inner})")
+    found["stream_messages"] = " UNION ALL ".join(said)
     return {name: found[name] for name in queries()}
 
 

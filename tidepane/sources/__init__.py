@@ -1,4 +1,4 @@
 from tidepane.sources.arrivals import arrivals, rejected
-from tidepane.sources.lines import number_lines, parse_lines, read_lines
+from tidepane.sources.lines import line_arrivals, number_lines, parse_lines, read_lines
 
-__all__ = ["arrivals", "number_lines", "parse_lines", "read_lines", "rejected"]
+__all__ = ["arrivals", "line_arrivals", "number_lines", "parse_lines", "read_lines", "rejected"]

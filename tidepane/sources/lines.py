@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepane.sources.arrivals import arrivals
+from tidepane.sources.shared import stage
+
 # The two timestamp forms of an input line.
 EPOCH_MS = "epoch_ms"
 DOCUMENTED_PATTERN = "yyyy.M.d HH:mm:ss"
 
 
-# How the files of a batch read follow each other.
-FILE_ORDER = {"time": ["_mtime", "_path"], "path": ["_path"]}
+# How files follow each other, within a batch read or a micro-batch.
+FILE_ORDER = {"time": ["file_modification_time", "file_path"], "path": ["file_path"]}
+SPLIT = "split"
+
+
+def _split(file_order: str) -> Column:
+    """The part of a file that a line was read from; parts compare in the order of their lines."""
+    names = [*FILE_ORDER[file_order], "file_block_start"]
+    return F.struct(*[F.col(f"_metadata.{name}").alias(name) for name in names]).alias(SPLIT)
 
 
 def read_lines(
@@ -23,7 +35,8 @@ def read_lines(
     file_order: str = "time",
     **options: str,
 ) -> DataFrame:
-    """Lines as ``value STRING`` (plus ``seq`` where the source knows the arrival order).
+    """Lines as ``value STRING`` (plus ``seq`` where the source knows the arrival order, and
+    ``split`` in a text stream, from which :func:`line_arrivals` makes arrival numbers).
 
     ``text`` takes ``path``; ``socket`` takes ``host`` and ``port`` (streaming only); ``kafka``
     takes its usual options and uses the record offset as ``seq``, which orders one partition:
@@ -39,32 +52,51 @@ def read_lines(
         return lines.select(
             F.col("offset").alias("seq"), F.col("partition"), F.col("value").cast("string")
         )
-    if source == "text" and not streaming:
-        return number_lines(lines, file_order)
-    return lines.select("value")
+    if source != "text":
+        return lines.select("value")
+    placed = lines.select("value", _split(file_order))
+    return placed if streaming else number_lines(placed)
 
 
-def number_lines(lines: DataFrame, file_order: str = "time") -> DataFrame:
-    """Add ``seq``, the line number over all files, without moving the lines.
+def number_lines(lines: DataFrame) -> DataFrame:
+    """``seq, value``: the line number over all files, from ``value, split``.
 
-    Lines are counted per file split; split offsets are prefix sums over the split table, which
-    has one row per split of the input, and are joined back. Within a split, Spark's own
-    increasing id gives the position.
+    Lines are counted per split; split offsets are prefix sums over the split table, which has one
+    row per split of the input, and are joined back (lines only move if that table is beyond the
+    broadcast threshold). Within a split, Spark's own increasing id gives the position.
     """
-    split = [*FILE_ORDER[file_order], "_start"]
-    numbered = lines.select(
-        "value",
-        F.col("_metadata.file_modification_time").alias("_mtime"),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    counts = numbered.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    earlier = W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    return numbered.join(offsets, split).select(
-        (F.col("_offset") + F.col("_id") - F.col("_first")).alias("seq"), "value"
-    )
+    numbered = lines.withColumn("_id", F.monotonically_increasing_id())
+    return _numbered(numbered, _offsets(numbered))
+
+
+def _offsets(numbered: DataFrame) -> DataFrame:
+    counts = numbered.groupBy(SPLIT).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = W.orderBy(SPLIT).rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def _numbered(numbered: DataFrame, offsets: DataFrame, first: int = 0) -> DataFrame:
+    number = F.col("_offset") + F.col("_id") - F.col("_first") + first
+    return numbered.join(offsets, SPLIT).select(number.alias("seq"), "value")
+
+
+def line_arrivals(
+    ts_format: str = EPOCH_MS, mode: str = "failfast", values: str | dict[str, str | Column] = "value"
+) -> Callable[[DataFrame, int], tuple[DataFrame, int]]:
+    """How a stream of lines becomes arrivals, batch by batch (``prepare`` of an exact stream).
+
+    Lines are numbered on from the last batch by split and place within it, before lines that
+    cannot be read are left out or refused.
+    """
+
+    def prepare(lines: DataFrame, first: int) -> tuple[DataFrame, int]:
+        numbered = lines.select("value", SPLIT).withColumn("_id", F.monotonically_increasing_id())
+        offsets = stage(_offsets(numbered), "line-offsets")
+        count = offsets.agg(F.sum("_n")).first()[0] or 0
+        parsed = parse_lines(_numbered(numbered, offsets, first), ts_format, mode)
+        return arrivals(parsed, values=values), first + count
+
+    return prepare
 
 
 def parse_lines(

@@ -36,3 +36,8 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or fresh_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def emptied(spark: SparkSession, path: str) -> None:
+    """Free what a table holds; the folder stays, with an empty table of one column."""
+    spark.createDataFrame([], "gone boolean").coalesce(1).write.mode("overwrite").parquet(path)
