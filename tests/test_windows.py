@@ -11,7 +11,7 @@ from tidepane import (
     sliding_current, sliding_final, sliding_panes, sliding_revised, sliding_versions,
 )
 from tidepane.plans.native import native_windows
-from tidepane.operators import accepted, dropped, intervals, window_versions, windows, with_progress
+from tidepane.operators import accepted, dropped, intervals, running, window_versions, windows, with_progress
 from tidepane.sources import arrivals
 
 ALL = [MIN, MAX, SUM, AVG, STD, RANGE, COUNT, SUMSQ, PRODUCT, GEOMEAN]
@@ -175,8 +175,6 @@ def test_versions_equal_brute_force(spark, case, copy_width, monkeypatch):
 @pytest.mark.parametrize("hot_rows,hot_keys", [(10**6, 10), (100, 10), (50, 1)])
 @pytest.mark.parametrize("origin", ["first", "epoch"])
 def test_keys_with_null_and_hot_key(spark, origin, hot_rows, hot_keys, monkeypatch):
-    from tidepane.operators import running
-
     monkeypatch.setattr(running.find_hot_keys, "__defaults__", (hot_rows, hot_keys))
     spec = WindowSpec.of("32 s", "2 s", "24 s", origin=origin)
     by_key = {"hot": random_rows(1, 500), "b": random_rows(2, 60), None: random_rows(3, 60)}
@@ -213,6 +211,25 @@ def test_bucketed_progress_equals_plain_running_max(spark, bits, levels):
     assert {r["seq"]: r["progress_ms"] for r in got} == want
 
 
+@pytest.mark.parametrize("spread", [lambda seq: seq << 40, lambda seq: seq if seq < 600 else (seq << 12) + (1 << 62), lambda seq: 3**35 + seq * seq * 1000])
+def test_progress_of_sparse_arrival_numbers(spark, spread):
+    """Even buckets however numbers are spread, and a table above them that holds one row each."""
+    rows = [(spread(seq), ts, value) for seq, ts, value in random_rows(14, 400)]
+    frame = make(spark, rows).repartition(5)
+    cuts = running.find_cuts(frame, "seq", bits=4)
+    assert 20 <= len(cuts) <= 25
+    placed = running._with_bucket(frame, "b", "seq", 4, cuts).groupBy("b").count().collect()
+    assert max(r["count"] for r in placed) <= 40
+    got = {r["seq"]: r["progress_ms"] for r in with_progress(frame, DEFAULT, bits=4).collect()}
+    mx, want = None, {}
+    for seq, ts, _ in rows:
+        mx = ts if mx is None else max(mx, ts)
+        want[seq] = mx
+    assert got == want
+    assert running.find_cuts(make(spark, random_rows(14, 400)), "seq") is None
+    assert len(running.find_cuts(frame, "seq", bits=4, most=8)) == 7
+
+
 def test_order_inside_an_epoch_does_not_matter(spark):
     rows = random_rows(5, 300)
     epochs, mx = {}, None

@@ -14,6 +14,7 @@ from tidepane.operators.running import (
     LEVELS,
     carry_first,
     carry_max,
+    find_cuts,
     find_hot_keys,
     running_extreme,
 )
@@ -32,6 +33,7 @@ def with_progress(
     bits: int = BUCKET_BITS,
     levels: int | None = None,
     hot_rows: int = HOT_ROWS,
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """Add ``progress_ms`` (running max of event time by arrival), ``lateness_ms``, ``slide``
     (where the row belongs) and ``epoch`` (the slide that was open when it arrived).
@@ -40,12 +42,14 @@ def with_progress(
     ``keys, progress_ms[, origin_ms]`` reached by an earlier part of the stream.
 
     Without keys the stream is cut into arrival buckets (see :func:`running_extreme`); with keys,
-    those with more than ``hot_rows`` rows are. Giving ``levels`` fixes the number of bucket
-    levels for all keys instead and saves the count.
+    those with more than ``hot_rows`` rows are. Where arrival numbers are sparse the borders of the
+    buckets are quantiles. Giving ``levels`` fixes the number of bucket levels for all keys (and
+    ``cuts`` the borders) and saves counting.
     """
     hot = None
     if levels is None:
         levels, hot = find_hot_keys(rows, keys, hot_rows) if keys else (LEVELS, None)
+        cuts = find_cuts(rows, SEQ, bits) if levels else None
     carries = {"progress_ms": carry_max(TS)}
     seeds = heads
     if seeds is not None:
@@ -56,7 +60,7 @@ def with_progress(
         if seeds is not None:
             seeds = seeds.withColumn(START, F.col(ORIGIN))
     reached = running_extreme(
-        rows, SEQ, carries, keys, seeds=seeds, bits=bits, levels=levels, hot=hot
+        rows, SEQ, carries, keys, seeds=seeds, bits=bits, levels=levels, hot=hot, cuts=cuts
     ).drop(START)
     return reached.withColumns({
         "lateness_ms": F.col("progress_ms") - F.col(TS),

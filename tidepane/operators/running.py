@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +20,10 @@ HOT_ROWS = 1 << 20
 HOT_KEYS = 100_000
 # With a larger share of rows in hot keys than this, all keys are cut.
 MOSTLY_HOT = 0.9
+# Order values are sparse if they span more than this many times the number of rows.
+SPARSE = 4
+# Most buckets of sparse order values; the table above them is ordered in one task.
+MOST_CUTS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -84,6 +89,39 @@ def find_hot_keys(
     return LEVELS, None if cut_all else hot
 
 
+def find_cuts(
+    rows: DataFrame, order: str, bits: int = BUCKET_BITS, most: int = MOST_CUTS
+) -> list[float] | None:
+    """Borders between buckets of about ``2**bits`` rows if the values of ``order`` are sparse, None
+    if equal ranges of them will do.
+
+    The borders are quantiles, as a range partitioning would sample them, so buckets are even
+    however the values are spread: ids with a time in their upper bits, offsets with gaps, a
+    few values far out.
+    """
+    seen = rows.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if not seen["n"] or seen["high"] - seen["low"] < SPARSE * seen["n"]:
+        return None
+    buckets = min(most, -(-seen["n"] // (1 << bits)))
+    shares = [i / buckets for i in range(1, buckets)]
+    if not shares:
+        return []
+    found = rows.agg(F.percentile_approx(order, shares, 10 * buckets).alias("cuts")).first()["cuts"]
+    # Compared as doubles, as the bucketing does; equal ones make one border.
+    return sorted({float(cut) for cut in found})
+
+
+def _with_bucket(df: DataFrame, name: str, order: str, bits: int, cuts: list[float] | None) -> DataFrame:
+    if cuts is None:
+        return df.withColumn(name, F.shiftright(F.col(order), bits))
+    # A long keeps its place among others when it becomes a double, so buckets follow the order; at
+    # most 1024 neighbouring values become the same one.
+    placed = df.withColumn("_place", F.col(order).cast("double"))
+    borders = [-float("inf"), *cuts, float("inf")]
+    found = Bucketizer(splits=borders, inputCol="_place", outputCol=name, handleInvalid="keep").transform(placed)
+    return found.withColumn(name, F.col(name).cast("long")).drop("_place")
+
+
 def running_extreme(
     df: DataFrame,
     order: str,
@@ -95,6 +133,7 @@ def running_extreme(
     bits: int = BUCKET_BITS,
     levels: int = LEVELS,
     hot: DataFrame | None = None,
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """Add ``out``, the carried value over all rows of the key up to this one, per carry.
 
@@ -103,10 +142,14 @@ def running_extreme(
 
     A plain window would put a whole key, or without keys the whole stream, into one task. Here
     rows are cut into buckets of ``2**bits`` consecutive order values, so no task has to sort a
-    larger group. What is carried into a bucket comes from the same function applied to the
+    larger group (values should be dense, or ``cuts`` given). What is carried into a bucket comes from the same function applied to the
     bucket table, one level up, and enters as a marker row that sorts first. Rows are shuffled and
     sorted once; ``levels`` bounds the topmost table. With ``hot`` only those keys are cut.
+    ``cuts`` (see :func:`find_cuts`) are borders of buckets in place of equal ranges; their number
+    bounds the table above, so one level is enough.
     """
+    if cuts is not None:
+        levels = min(levels, 1) if cuts else 0
     columns = list(dict.fromkeys(carry.column for carry in carries.values()))
     if seeds is not None:
         seeds = seeds.select(*keys, *columns)
@@ -116,17 +159,17 @@ def running_extreme(
     else:
         bucket = f"_bucket{levels}"
         group, helpers = [*keys, bucket], [bucket]
-        number = F.shiftright(F.col(order), bits)
+        df = _with_bucket(df, bucket, order, bits, cuts)
         cut, cut_seeds, whole_seeds = df, seeds, None
         if hot is not None:
             df = mark_hot(df, hot, keys)
-            number, cut = F.when(F.col("_hot"), number), df.filter("_hot")
+            cut = df.filter("_hot")
+            df = df.withColumn(bucket, F.when(F.col("_hot"), F.col(bucket)))
             helpers.append("_hot")
             if seeds is not None:
                 marked = mark_hot(seeds, hot, keys)
                 cut_seeds, whole_seeds = marked.filter("_hot"), marked.filter("_hot IS NULL")
-        bucketed = df.withColumn(bucket, number)
-        folded = cut.withColumn(bucket, F.shiftright(F.col(order), bits)).groupBy(*group).agg(
+        folded = cut.groupBy(*group).agg(
             *[c.fold(F.col(c.column), F.col(order)).alias(c.column) for c in carries.values()]
         )
         before = running_extreme(
@@ -136,7 +179,7 @@ def running_extreme(
         markers = before.select(
             *group, *[F.col(out).alias(carry.column) for out, carry in carries.items()]
         )
-        rows = bucketed.unionByName(markers, allowMissingColumns=True)
+        rows = df.unionByName(markers, allowMissingColumns=True)
         if whole_seeds is not None:
             rows = rows.unionByName(whole_seeds, allowMissingColumns=True)
     frame = (

@@ -104,6 +104,12 @@ def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_progress(load(spark, sf_dir), SPEC).select("seq", "ts_ms", "progress_ms", "lateness_ms")
 
 
+def progress_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival numbers with a shard in their lower bits: four million numbers for every row."""
+    rows = load(spark, sf_dir).withColumn("seq", F.shiftleft("seq", 22))
+    return with_progress(rows, SPEC, bits=8).select("seq", "ts_ms", "progress_ms", "lateness_ms")
+
+
 def slide_epoch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = accepted(with_progress(load(spark, sf_dir), SPEC), SPEC)
     return kept.select("seq", "slide", "epoch", slide_end(F.col("slide"), SPEC).alias("slide_end"))
@@ -290,6 +296,7 @@ def queries() -> dict[str, Query]:
         "parse_documented_lines": parsed_lines(DOCUMENTED_PATTERN),
         "line_replay": line_replay,
         "event_progress": event_progress,
+        "progress_sparse": progress_sparse,
         "late_accepted": audit(late_accepted),
         "late_dropped": audit(dropped),
         "null_rows_audit": null_rows_audit,
@@ -353,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_documented_lines": f"""SELECT event_id AS seq,
             date_trunc('second', epoch_ms({sql.DISORDER_SQL})) AS ts, value FROM events""",
         "line_replay": sql.versions_sql(SPEC, ["sum", "max"], which="current", emitted_at=False),
+        "progress_sparse": f"{rows} SELECT seq * 4194304 AS seq, ts_ms, mx AS progress_ms, lateness_ms FROM prog",
         "event_progress": f"{rows} SELECT seq, ts_ms, mx AS progress_ms, lateness_ms FROM prog",
         "late_accepted": f"{rows} {late} kept WHERE lateness_ms > 0",
         "late_dropped": f"{rows} {late} prog WHERE lateness_ms > {SPEC.lateness_ms}",

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +17,7 @@ from tidepane.functions.aggregates import Aggregate
 from tidepane.functions.messages import result_messages
 from tidepane.operators.panes import build_panes, group_keys, merge_columns
 from tidepane.operators.progress import accepted, with_progress
+from tidepane.operators.running import find_cuts
 from tidepane.operators.windows import match_keys, stream_epochs, window_versions
 from tidepane.sources.arrivals import SEQ
 from tidepane.sources.shared import emptied, stage
@@ -26,7 +28,7 @@ BUCKET = "_bucket_no"
 DELTAS = 8
 
 COMMIT = (
-    "batch_id bigint, query string, next_seq bigint, reached_ms bigint, "
+    "batch_id bigint, query string, next_seq bigint, reached_ms bigint, heads string, panes string, "
     "buckets array<struct<bucket:int,versions:array<bigint>>>, retired array<bigint>"
 )
 
@@ -40,6 +42,9 @@ class Commit:
     batch_id: int = -1
     next_seq: int = 0
     reached_ms: int | None = None
+    #: Schemas of the state tables, as JSON.
+    heads: str = ""
+    panes: str = ""
     buckets: dict[int, list[int]] = field(default_factory=dict)
     #: Versions that the batch before this one still needed.
     retired: list[int] = field(default_factory=list)
@@ -159,7 +164,8 @@ class ExactStream:
             self._refuse_falling(seen, old["heads"])
 
         progressed = with_progress(
-            rows, self.spec, self.keys, heads=old["heads"], levels=self.progress_levels
+            rows, self.spec, self.keys, heads=old["heads"], levels=self.progress_levels,
+            cuts=find_cuts(rows, SEQ) if self.progress_levels else None,
         )
         arrived = stage(
             build_panes(accepted(progressed, self.spec), self.spec, self.aggs, self.keys),
@@ -172,12 +178,12 @@ class ExactStream:
         top = heads.agg(F.max("progress_ms")).first()[0]
         reached = max((ms for ms in (top, before.reached_ms) if ms is not None), default=None)
         full = [b for b in touched if not self.keys or len(before.buckets.get(b, [])) >= self.deltas]
-        after = Commit(batch_id, next_seq, reached, dict(before.buckets))
+        schemas = self._store(heads, panes, stored, seen, full, reached, batch_id)
+        after = Commit(batch_id, next_seq, reached, **schemas, buckets=dict(before.buckets))
         for bucket in touched:
             known = [] if bucket in full else before.buckets.get(bucket, [])
             # A batch that is run again is named once.
             after.buckets[bucket] = [v for v in known if v != batch_id] + [batch_id]
-        self._store(heads, panes, stored, seen, full, reached, batch_id)
         # The commit before must stay readable, so its versions go one batch later.
         after.retired = sorted(before.live() - after.live())
         self._write_commit(spark, after)
@@ -204,11 +210,15 @@ class ExactStream:
         if found["query"] != self.query:
             raise RuntimeError(f"state in {path} is of the query {found['query']}, not {self.query}")
         buckets = {b["bucket"]: list(b["versions"]) for b in found["buckets"]}
-        return Commit(batch_id, found["next_seq"], found["reached_ms"], buckets, list(found["retired"]))
+        return Commit(
+            batch_id, found["next_seq"], found["reached_ms"], found["heads"], found["panes"], buckets, list(found["retired"])
+        )
 
     def _write_commit(self, spark: SparkSession, commit: Commit) -> None:
         buckets = [(b, v) for b, v in sorted(commit.buckets.items())]
-        row = (commit.batch_id, self.query, commit.next_seq, commit.reached_ms, buckets, commit.retired)
+        row = (
+            commit.batch_id, self.query, commit.next_seq, commit.reached_ms, commit.heads, commit.panes, buckets, commit.retired,
+        )
         path = f"{self._state(spark)}/commits/batch={commit.batch_id}"
         spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("overwrite").parquet(path)
 
@@ -216,7 +226,10 @@ class ExactStream:
         """The state of some buckets in all their versions, with its ``batch``."""
         folder = f"{self._state(spark)}/{name}"
         paths = [f"{folder}/batch={v}/{BUCKET}={b}" for b in buckets for v in commit.buckets.get(b, [])]
-        return spark.read.option("basePath", folder).parquet(*paths).drop(BUCKET) if paths else None
+        if not paths:
+            return None
+        schema = T.StructType.fromJson(json.loads(getattr(commit, name))).add("batch", "long")
+        return spark.read.schema(schema).option("basePath", folder).parquet(*paths).drop(BUCKET)
 
     def _newest(self, table: DataFrame | None) -> DataFrame | None:
         """Of each key what its last batch has written."""
@@ -286,8 +299,9 @@ class ExactStream:
     def _store(
         self, heads: DataFrame, panes: DataFrame, stored: dict, seen: DataFrame, full: list[int],
         reached: int | None, batch_id: int,
-    ) -> None:
-        """Write the state of the batch's keys, and of all other keys of the buckets written anew."""
+    ) -> dict[str, str]:
+        """Write the state of the batch's keys, and of all other keys of the buckets written anew;
+        the schemas of both tables."""
         spark = heads.sparkSession
         tables = {"heads": heads, "panes": self._retained(panes, heads)}
         if full and self.keys and stored["heads"] is not None:
@@ -303,6 +317,7 @@ class ExactStream:
                 .write.mode("overwrite").partitionBy(BUCKET)
                 .parquet(f"{self._state(spark)}/{name}/batch={batch_id}")
             )
+        return {name: table.schema.json() for name, table in tables.items()}
 
     def _retained(self, panes: DataFrame, heads: DataFrame) -> DataFrame:
         """Panes for the next batch: closed epochs merged into one, unreachable panes dropped."""
