@@ -111,9 +111,12 @@ def find_cuts(
     return sorted({float(cut) for cut in found})
 
 
-def _with_bucket(df: DataFrame, name: str, order: str, bits: int, cuts: list[float] | None) -> DataFrame:
+def in_buckets(df: DataFrame, name: str, order: str, bits: int, cuts: list[float] | None) -> DataFrame:
+    """Add ``name``, a bucket number that follows ``order``: equal ranges, or borders at ``cuts``."""
     if cuts is None:
         return df.withColumn(name, F.shiftright(F.col(order), bits))
+    if not cuts:
+        return df.withColumn(name, F.lit(0).cast("long"))
     # A long keeps its place among others when it becomes a double, so buckets follow the order; at
     # most 1024 neighbouring values become the same one.
     placed = df.withColumn("_place", F.col(order).cast("double"))
@@ -159,7 +162,7 @@ def running_extreme(
     else:
         bucket = f"_bucket{levels}"
         group, helpers = [*keys, bucket], [bucket]
-        df = _with_bucket(df, bucket, order, bits, cuts)
+        df = in_buckets(df, bucket, order, bits, cuts)
         cut, cut_seeds, whole_seeds = df, seeds, None
         if hot is not None:
             df = mark_hot(df, hot, keys)

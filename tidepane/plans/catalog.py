@@ -13,6 +13,7 @@ from tidepane.functions.aggregates import (
 )
 from tidepane.functions.messages import format_current, format_revision
 from tidepane.functions.slides import slide_end
+from tidepane.operators.numbering import number_in_order, partition_arrivals
 from tidepane.operators.panes import build_panes
 from tidepane.operators.progress import accepted, dropped, with_progress
 from tidepane.plans import contract_sql as sql
@@ -198,6 +199,43 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.results(spark).drop("batch")
 
 
+def dealt_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of four partitions; event time is not the time they came in."""
+    number = F.col("event_id")
+    return events(spark, sf_dir).select(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("stamp_ms"), (number % 4).cast("int").alias("partition"),
+        F.expr("event_id div 4").alias("offset"), F.timestamp_millis(disordered_ms()).alias("ts"),
+        F.col("value").cast("decimal(18,2)").alias("value"),
+    )
+
+
+def partitioned_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one order of all records of four partitions."""
+    numbered = number_in_order(dealt_out(spark, sf_dir), ["stamp_ms", "partition", "offset"], bits=8)
+    return numbered.select("seq", "partition", "offset")
+
+
+def stream_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions from records of four partitions, each of which runs ahead of the next one."""
+    base = fresh_path(spark, "exact")
+    job = ExactStream(
+        SPEC, [shown(SUM), shown(MAX)], state_dir=f"{base}/state", out_dir=f"{base}/out", prepare=partition_arrivals(4),
+    )
+    records = dealt_out(spark, sf_dir)
+    # Offset o of partition p comes with o + p * ahead, so partitions are that far apart.
+    records = records.withColumn("came", F.col("offset") + F.col("partition") * 100)
+
+    def write(part: DataFrame, path: str) -> None:
+        part.drop("came").write.mode("append").parquet(path)
+
+    def start(path: str) -> StreamingQuery:
+        feed = spark.readStream.schema(records.drop("came").schema).parquet(path)
+        return job.start(feed, f"{base}/checkpoint", availableNow=True)
+
+    in_parts(records, "came", write, fresh_path(spark, "records"), start)
+    return job.results(spark).drop("batch")
+
+
 def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of a running query, as its micro-batches have written them."""
     base = fresh_path(spark, "exact")
@@ -339,6 +377,8 @@ def queries() -> dict[str, Query]:
         "stream_exact_keyed": stream_exact(("event_type",)),
         "stream_exact_users": stream_exact(("user_id",)),
         "stream_lines_exact": stream_lines,
+        "partitioned_arrivals": partitioned_arrivals,
+        "stream_partitions_exact": stream_partitions,
         "stream_messages": stream_messages,
         "stream_upsert": stream_upsert,
     }
@@ -416,6 +456,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_exact_keyed": sql.versions_sql(SPEC, ["sum", "std", "range"], key="event_type"),
         "stream_exact_users": sql.versions_sql(SPEC, ["sum", "std", "range"], key="user_id"),
         "stream_lines_exact": sql.versions_sql(SPEC, ["sum", "max"]),
+        "partitioned_arrivals": """SELECT row_number() OVER (ORDER BY ts, event_id % 4, event_id // 4) - 1 AS seq,
+            CAST(event_id % 4 AS INTEGER) AS partition, event_id // 4 AS "offset" FROM events""",
+        # The newest records are held back until every partition has gone beyond them.
+        "stream_partitions_exact": sql.versions_sql(SPEC, ["sum", "max"]).replace("FROM events", """FROM events
+            WHERE epoch_ms(ts) < (SELECT min(last) FROM (SELECT max(epoch_ms(ts)) AS last FROM events GROUP BY event_id % 4))"""),
     }
     for name in ("min", "max", "sum", "avg", "std", "range", "count", "sumsq", "geomean"):
         found[f"current_{name}"] = sql.versions_sql(SPEC, [name], which="current")

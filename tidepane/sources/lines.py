@@ -39,8 +39,9 @@ def read_lines(
     ``split`` in a text stream, from which :func:`line_arrivals` makes arrival numbers).
 
     ``text`` takes ``path``; ``socket`` takes ``host`` and ``port`` (streaming only); ``kafka``
-    takes its usual options and uses the record offset as ``seq``, which orders one partition:
-    give a single-partition topic, or key by ``partition`` so each partition is its own stream.
+    takes its usual options and uses the record offset as ``seq``, which orders one partition; the
+    columns ``stamp_ms, partition, offset`` give several partitions one order (see
+    :func:`tidepane.operators.numbering.partition_arrivals`).
     Batch text files are numbered by line, file after file in ``file_order``: modification
     ``time`` (as a file stream takes them) or ``path``.
     """
@@ -50,7 +51,8 @@ def read_lines(
     lines = reader.options(**options).load()
     if source == "kafka":
         return lines.select(
-            F.col("offset").alias("seq"), F.col("partition"), F.col("value").cast("string")
+            F.col("offset").alias("seq"), "partition", "offset", F.unix_millis("timestamp").alias("stamp_ms"),
+            F.col("value").cast("string"),
         )
     if source != "text":
         return lines.select("value")
@@ -82,19 +84,19 @@ def _numbered(numbered: DataFrame, offsets: DataFrame, first: int = 0) -> DataFr
 
 def line_arrivals(
     ts_format: str = EPOCH_MS, mode: str = "failfast", values: str | dict[str, str | Column] = "value"
-) -> Callable[[DataFrame, int], tuple[DataFrame, int]]:
+) -> Callable[[DataFrame, int, DataFrame | None], tuple[DataFrame, int, None]]:
     """How a stream of lines becomes arrivals, batch by batch (``prepare`` of an exact stream).
 
     Lines are numbered on from the last batch by split and place within it, before lines that
     cannot be read are left out or refused.
     """
 
-    def prepare(lines: DataFrame, first: int) -> tuple[DataFrame, int]:
+    def prepare(lines: DataFrame, first: int, held: DataFrame | None) -> tuple[DataFrame, int, None]:
         numbered = lines.select("value", SPLIT).withColumn("_id", F.monotonically_increasing_id())
         offsets = stage(_offsets(numbered), "line-offsets")
         count = offsets.agg(F.sum("_n")).first()[0] or 0
         parsed = parse_lines(_numbered(numbered, offsets, first), ts_format, mode)
-        return arrivals(parsed, values=values), first + count
+        return arrivals(parsed, values=values), first + count, None
 
     return prepare
 

@@ -28,11 +28,11 @@ BUCKET = "_bucket_no"
 DELTAS = 8
 
 COMMIT = (
-    "batch_id bigint, query string, next_seq bigint, reached_ms bigint, heads string, panes string, "
+    "batch_id bigint, query string, next_seq bigint, reached_ms bigint, heads string, panes string, held string, "
     "buckets array<struct<bucket:int,versions:array<bigint>>>, retired array<bigint>"
 )
 
-Prepare = Callable[[DataFrame, int], tuple[DataFrame, int]]
+Prepare = Callable[[DataFrame, int, DataFrame | None], tuple[DataFrame, int, DataFrame | None]]
 
 
 @dataclass
@@ -45,6 +45,7 @@ class Commit:
     #: Schemas of the state tables, as JSON.
     heads: str = ""
     panes: str = ""
+    held: str = ""
     buckets: dict[int, list[int]] = field(default_factory=dict)
     #: Versions that the batch before this one still needed.
     retired: list[int] = field(default_factory=list)
@@ -73,8 +74,9 @@ class ExactStream:
     anything else is refused.
 
     ``prepare`` turns the rows of a batch into arrivals where the stream has no arrival numbers:
-    it gets the rows and the next free number and gives the arrivals and the number after them
-    (see :func:`tidepane.sources.lines.line_arrivals`). With ``messages``, the name of a result,
+    it gets the rows, the next free number and what it has held back, and gives the arrivals, the
+    number after them and what to hold back (see :func:`tidepane.sources.lines.line_arrivals` and
+    :func:`tidepane.operators.numbering.partition_arrivals`). With ``messages``, the name of a result,
     its messages are written as text beside the results, ordered by closing time.
     """
 
@@ -143,9 +145,11 @@ class ExactStream:
     def process(self, rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         before = self._commit(spark, batch_id - 1) if batch_id > 0 else Commit()
-        next_seq = before.next_seq
+        next_seq, held_back = before.next_seq, ""
         if self.prepare is not None:
-            rows, next_seq = self.prepare(rows, before.next_seq)
+            rows, next_seq, held = self.prepare(rows, before.next_seq, self._held(spark, before))
+            if held is not None:
+                held_back = stage(held, "held", f"{self._state(spark)}/held/batch={batch_id}").schema.json()
         work = f"{self._state(spark)}/work/{batch_id % 2}"
         seen = stage(
             rows.groupBy(*self.keys, self._bucket().alias(BUCKET)).agg(
@@ -179,7 +183,7 @@ class ExactStream:
         reached = max((ms for ms in (top, before.reached_ms) if ms is not None), default=None)
         full = [b for b in touched if not self.keys or len(before.buckets.get(b, [])) >= self.deltas]
         schemas = self._store(heads, panes, stored, seen, full, reached, batch_id)
-        after = Commit(batch_id, next_seq, reached, **schemas, buckets=dict(before.buckets))
+        after = Commit(batch_id, next_seq, reached, **schemas, held=held_back, buckets=dict(before.buckets))
         for bucket in touched:
             known = [] if bucket in full else before.buckets.get(bucket, [])
             # A batch that is run again is named once.
@@ -187,6 +191,8 @@ class ExactStream:
         # The commit before must stay readable, so its versions go one batch later.
         after.retired = sorted(before.live() - after.live())
         self._write_commit(spark, after)
+        if held_back and batch_id > 1:
+            emptied(spark, f"{self._state(spark)}/held/batch={batch_id - 2}")
         for version in before.retired:
             for name in ("heads", "panes"):
                 emptied(spark, f"{self._state(spark)}/{name}/batch={version}")
@@ -194,6 +200,13 @@ class ExactStream:
     def _state(self, spark: SparkSession) -> str:
         return f"{self.state_dir}/run={self.run_id(spark)}"
 
+    def _held(self, spark: SparkSession, commit: Commit) -> DataFrame | None:
+        """What ``prepare`` has kept back for this batch."""
+        if not commit.held:
+            return None
+        schema = T.StructType.fromJson(json.loads(commit.held))
+        return spark.read.schema(schema).parquet(f"{self._state(spark)}/held/batch={commit.batch_id}")
+
     def _bucket(self) -> Column:
         if not self.keys:
             return F.lit(0)
@@ -211,13 +224,15 @@ class ExactStream:
             raise RuntimeError(f"state in {path} is of the query {found['query']}, not {self.query}")
         buckets = {b["bucket"]: list(b["versions"]) for b in found["buckets"]}
         return Commit(
-            batch_id, found["next_seq"], found["reached_ms"], found["heads"], found["panes"], buckets, list(found["retired"])
+            batch_id, found["next_seq"], found["reached_ms"], found["heads"], found["panes"], found["held"],
+            buckets, list(found["retired"]),
         )
 
     def _write_commit(self, spark: SparkSession, commit: Commit) -> None:
         buckets = [(b, v) for b, v in sorted(commit.buckets.items())]
         row = (
-            commit.batch_id, self.query, commit.next_seq, commit.reached_ms, commit.heads, commit.panes, buckets, commit.retired,
+            commit.batch_id, self.query, commit.next_seq, commit.reached_ms, commit.heads, commit.panes,
+            commit.held, buckets, commit.retired,
         )
         path = f"{self._state(spark)}/commits/batch={commit.batch_id}"
         spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("overwrite").parquet(path)
