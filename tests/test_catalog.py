@@ -18,7 +18,7 @@ BASE = [
     "current_custom_agg", "revised_std", "window_versions", "final_windows", "lead_in_windows",
     "nondivisible_window", "long_window_versions", "long_window_final", "densified_windows", "flushed_windows", "keyed_windows",
     "keyed_origin_first", "tumbling_windows", "native_windows", "format_current", "stream_exact",
-    "stream_upsert", "stream_lines_exact", "stream_messages", "stream_exact_users", "current_std_double", "revised_std_double",
+    "stream_upsert", "stream_lines_exact", "stream_messages", "stream_upsert_late", "partitioned_arrivals", "progress_sparse", "current_std_double", "revised_std_double",
 ]
 
 

@@ -25,7 +25,7 @@ from tidepane.sources import arrivals, line_arrivals, parse_lines, read_lines, r
 from tidepane.sources.lines import DOCUMENTED_PATTERN
 from tidepane.sources.shared import fresh_path
 from tidepane.spec import WindowSpec
-from tidepane.streaming import ExactStream, latest, start_upsert_feed, upsert_feed
+from tidepane.streaming import ExactStream, latest, pane_feed, start_upsert_feed, upsert_feed, windows_of_panes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -318,6 +318,18 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(spark.read.parquet(f"{base}/out"))
 
 
+def stream_upsert_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows from panes of the disordered stream; rows behind the watermark of a batch are left out."""
+    rows = load(spark, sf_dir).withColumn("ts", F.timestamp_millis("ts_ms"))
+    base, aggs = fresh_path(spark, "panes"), [shown(SUM), shown(EXACT_STD)]
+
+    def start(feed: DataFrame) -> StreamingQuery:
+        return start_upsert_feed(pane_feed(feed, SPEC, aggs), f"{base}/out", f"{base}/checkpoint", availableNow=True)
+
+    replay(spark, rows, start)
+    return windows_of_panes(spark.read.parquet(f"{base}/out"), SPEC, aggs)
+
+
 def null_rows_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row once: accepted, dropped as late, or rejected for want of a time."""
     lost = F.col("event_id") % 97 == 5
@@ -381,6 +393,7 @@ def queries() -> dict[str, Query]:
         "stream_partitions_exact": stream_partitions,
         "stream_messages": stream_messages,
         "stream_upsert": stream_upsert,
+        "stream_upsert_late": stream_upsert_late,
     }
     return found
 
@@ -452,6 +465,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "native_windows": native_sql(),
         "stream_upsert": native_sql(),
+        "stream_upsert_late": native_sql(sql.DISORDER_SQL, late_sql()),
         "stream_exact": sql.versions_sql(SPEC, ["sum", "std", "range"]),
         "stream_exact_keyed": sql.versions_sql(SPEC, ["sum", "std", "range"], key="event_type"),
         "stream_exact_users": sql.versions_sql(SPEC, ["sum", "std", "range"], key="user_id"),
@@ -484,13 +498,22 @@ def std_sql(which: str) -> str:
     return sql.versions_sql(COARSE, [], which=which, extra_states=states, extra={"std": f"round({std}, 2)"})
 
 
-def native_sql() -> str:
-    """Every window of the in-order stream, without the bounds of stream progress."""
+def late_sql() -> str:
+    """Rows whose pane is not behind the watermark that the batches before theirs have reached."""
+    step = f"(SELECT (max(seq) + {STREAM_BATCHES}) // {STREAM_BATCHES} FROM src)"
+    return f"""(SELECT src.* FROM src LEFT JOIN (SELECT b.batch, max(s.ts_ms) AS reached FROM src s,
+    (SELECT DISTINCT seq // {step} AS batch FROM src) b WHERE s.seq // {step} < b.batch GROUP BY b.batch) m
+    ON m.batch = src.seq // {step} WHERE reached IS NULL
+    OR (CAST(floor(ts_ms / {SPEC.pane_ms}) AS BIGINT) + 1) * {SPEC.pane_ms} > reached - {SPEC.lateness_ms})"""
+
+
+def native_sql(ts: str = sql.IN_ORDER_SQL, rows: str = "src") -> str:
+    """Every window of the stream, without the bounds of stream progress."""
     total, std = sql.RESULTS["sum"][1], sql.RESULTS["std"][1]
     return f"""
-WITH {sql.rows_sql(SPEC, ts=sql.IN_ORDER_SQL)},
+WITH {sql.rows_sql(SPEC, ts=ts)},
 grouped AS (SELECT w, count(*) AS n, count(value) AS cnt, sum(value) AS total, sum(value * value) AS squares
-  FROM src, unnest(generate_series(CAST(floor(ts_ms / {SPEC.slide_ms}) AS BIGINT),
+  FROM {rows}, unnest(generate_series(CAST(floor(ts_ms / {SPEC.slide_ms}) AS BIGINT),
     CAST(floor(ts_ms / {SPEC.slide_ms}) AS BIGINT) + {SPEC.slides_per_window - 1})) AS g(w) GROUP BY w)
 SELECT epoch_ms((w + 1) * {SPEC.slide_ms} - {SPEC.window_ms}) AS window_start,
   epoch_ms((w + 1) * {SPEC.slide_ms}) AS window_end, n, {total} AS sum, {std} AS std FROM grouped"""
