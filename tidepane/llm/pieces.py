@@ -36,14 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepane.llm.hashing import mix, prefix_sums, span_hashes
+from tidepane.llm.memory import give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Log probability of a piece: minus this times the logarithm of its rank.
 SHARPNESS = 1.0
-#: Text walked through together, and edges of cached unit lattices in a worker.
-CHUNK_BYTES = 1_000_000
-CACHE_EDGES = 16_000_000
+#: Text walked through together, rows of a batch that are Python objects at once, and bytes of cached
+#: unit lattices in a worker.
+CHUNK_BYTES = 300_000
+ROWS = 500
+CACHE_BYTES = 64_000_000
+#: Bytes of an edge and of a node, and of a unit's entry beside its own bytes.
+EDGE_BYTES, NODE_BYTES, UNIT_BYTES = 16, 8, 150
 
 #: Blanks and what follows of one kind: Latin letters (up to U+02BF), or anything else.
 _UNIT = re.compile(rb" *(?:[A-Za-z]+|[\xc3-\xca][\x80-\xbf])+| *[^ \nA-Za-z\xc3-\xca]+| +|\n|[\xc3-\xca]")
@@ -135,17 +140,21 @@ class Lattices:
 
     def clear(self) -> None:
         self.node_of = _Places()
-        self.n_nodes = self.n_edges = 0
-        # Grown by doubling; only the first n_nodes and n_edges entries count.
+        self.n_nodes = self.n_edges = self.n_units = 0
+        # Grown by a quarter; only the first n_nodes and n_edges entries count.
         self.first, self.degree = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
         self.target, self.piece = np.zeros(1 << 17, dtype=np.int32), np.zeros(1 << 17, dtype=np.int32)
         # Log probability of an edge at its node, and share of the node's edges up to it.
         self.log_q, self.upto = np.zeros(1 << 17, dtype=np.float32), np.zeros(1 << 17, dtype=np.float32)
 
+    def held(self) -> int:
+        """Bytes of all edges, nodes and units (a unit of n bytes has n + 1 nodes)."""
+        return EDGE_BYTES * self.n_edges + (NODE_BYTES + 1) * self.n_nodes + UNIT_BYTES * self.n_units
+
     def _append(self, name: str, used: int, values: np.ndarray) -> None:
         array = getattr(self, name)
         if used + len(values) > len(array):
-            grown = np.zeros(2 * (used + len(values)), dtype=array.dtype)
+            grown = np.zeros((used + len(values)) * 5 // 4, dtype=array.dtype)
             grown[:used] = array[:used]
             setattr(self, name, grown)
             array = grown
@@ -224,12 +233,14 @@ class Lattices:
         self._append("upto", self.n_edges, upto)
         self.n_nodes += len(degree)
         self.n_edges += len(piece)
+        self.n_units += len(units)
         starts = base + np.cumsum(lengths) - lengths + np.arange(len(units))
         self.node_of.update(zip(units, starts.tolist()))
 
     def nodes(self, units: list[bytes]) -> np.ndarray:
-        if self.n_edges > CACHE_EDGES:
+        if self.held() > CACHE_BYTES:
             self.clear()
+            give_back()
         known = self.node_of
         nodes = np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
         if known.fresh:
@@ -465,6 +476,7 @@ def _named_model(path: str) -> tuple[str, tuple]:
 
 def _encode(broadcast, samples: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         lattices = _lattices(broadcast.value)
         vocabulary = lattices.vocabulary
 
@@ -489,7 +501,7 @@ def _encode(broadcast, samples: int, with_ids: bool):
             )
 
         rows, texts, keys, size = [], [], [], 0
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 rows.append(doc)
                 texts.append(text or b"")
