@@ -218,7 +218,7 @@ def test_progress_of_sparse_arrival_numbers(spark, spread):
     frame = make(spark, rows).repartition(5)
     cuts = running.find_cuts(frame, "seq", bits=4)
     assert 20 <= len(cuts) <= 25
-    placed = running._with_bucket(frame, "b", "seq", 4, cuts).groupBy("b").count().collect()
+    placed = running.in_buckets(frame, "b", "seq", 4, cuts).groupBy("b").count().collect()
     assert max(r["count"] for r in placed) <= 40
     got = {r["seq"]: r["progress_ms"] for r in with_progress(frame, DEFAULT, bits=4).collect()}
     mx, want = None, {}

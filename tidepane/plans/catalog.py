@@ -41,7 +41,9 @@ LARGE_SHARE = Aggregate(
     (COUNT_STATE, Partial("large", lambda v: F.count_if(v > 100), F.sum)),
     lambda n, large: F.when(n > 0, large.cast("double") / n),
 )
-TWO_DIGITS = Aggregate("std", STD.partials, lambda m: F.round(STD.finish(m), 2))
+# Two digits; two values of two digits each deviate by multiples of 0.005, which this moves off the ties.
+OFF_TIES = 0.0012
+TWO_DIGITS = Aggregate("std", STD.partials, lambda m: F.round(STD.finish(m) + OFF_TIES, 2))
 # Aggregates whose state is exact; the results are compared as doubles.
 EXACT = [
     MIN, MAX, SUM, AVG, EXACT_STD, RANGE, COUNT, SUMSQ, LARGE_SHARE,
@@ -495,7 +497,7 @@ def oracle_sql() -> dict[str, str]:
 def std_sql(which: str) -> str:
     """Deviations do not change when all values move by the same amount."""
     states, std = sql.RESULTS["std"]
-    return sql.versions_sql(COARSE, [], which=which, extra_states=states, extra={"std": f"round({std}, 2)"})
+    return sql.versions_sql(COARSE, [], which=which, extra_states=states, extra={"std": f"round({std} + {OFF_TIES}, 2)"})
 
 
 def late_sql() -> str:
