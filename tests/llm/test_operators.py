@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidepane.llm import decontaminate, exact_dedup, jaccard, line_chunks, pieces, pii, quality, queries, suffix_dedup, suffix_sort, tables, toxicity, url_graph
+from tidepane.llm import components, decontaminate, exact_dedup, jaccard, line_chunks, pieces, pii, quality, queries, suffix_dedup, suffix_sort, tables, toxicity, url_graph
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "wort " * 20_000 + "\n" + "1" * 30_000 + " " + "1 2 " * 5_000 + "\n" + "äö" * 20_000
@@ -68,6 +68,29 @@ def test_jaccard_counts_every_link(spark):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    rows = [(1, "a b c d e f g"), (1, "quite another text that is clean"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (3, ""), (3, "")]
+    table = spark.createDataFrame(rows, DOC).withColumn("root", F.lit("own")).withColumn("unit", F.lit(7))
+    kept = sorted((r.doc_id, r.text or "") for r in jaccard.keep_one(table).collect())
+    assert kept == [(1, "a b c d e f g"), (1, "quite another text that is clean"), (3, ""), (3, "")]  # null and empty
+    out = sorted(map(tuple, jaccard.jaccard_components(table, 3, 90).collect()))
+    assert out == [(1, 4, 1, 0), (1, 5, 1, 1), (1, 5, 1, 1), (2, 5, 1, 1), (3, 0, 3, 0), (3, 0, 3, 0), (3, 0, 3, 0)]
+
+
+@pytest.mark.parametrize("shingles", [60, 1000])
+def test_links_are_counted_over_many_blocks(spark, monkeypatch, shingles):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(jaccard, "UNIT_WEIGHT", 1)
+    test_jaccard_counts_every_link(spark)
+
+
+def test_components_raise_when_unfinished(spark):
+    edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.component for r in components.connected_components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not final"):
+        components.connected_components(edges, most_rounds=2)
+
+
 def test_allowances_may_be_moved(table, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "COSTLY", 0.0)
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table, 3, 90).collect()}

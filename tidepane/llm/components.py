@@ -10,7 +10,7 @@ from tidepane.sources.shared import stage
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges``: ``a, b`` (comparable ids). Returns ``id, component`` (the smallest id reachable)
-    for every id that has an edge to another.
+    for every id that has an edge to another. Raises if ``most_rounds`` do not suffice.
 
     Each round writes the edges to the shared folder. Minima are aggregated before the shuffle, so
     a centre with very many neighbours is no large group; joins on it can be split when skewed.
@@ -30,6 +30,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components are not final after {most_rounds} rounds")
     ends = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     roots = edges.select(F.col("v").alias("id")).distinct().join(ends.select("id"), "id", "left_anti")
     return ends.union(roots.select("id", F.col("id").alias("component")))

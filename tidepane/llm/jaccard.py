@@ -9,16 +9,17 @@ indexed. Costs decide how the allowance is spent: where the subsets of a segment
 cheaper segment gets 2, which means that its subsets are also indexed with any one element deleted.
 Candidates are verified on the shingles themselves, as words.
 
-Groups of copies are never expanded into pairs: equal word sequences stand behind one head, and
-their links are counted by class sizes. All pairs of heads that share a signature are candidates:
-members of a signature are compared in blocks, first by a parity sketch that bounds the symmetric
-difference from below, then exactly. Where only components are asked for, members are first
-compared with one centre, and blocks only for signatures that still join different components.
+Groups of copies are never expanded into pairs: equal word sequences are one unit, whose documents
+are counted. The units of a signature are first compared with one centre, and with each other, in
+blocks behind a parity sketch that bounds the symmetric difference from below, where a signature
+still joins different components. That gives the components; links lie inside of them. To count
+links, the units of a component are dealt to blocks of bounded size, and each pair of blocks is
+compared exactly in one task, which returns a number per unit: pairs never become rows.
 
 Defined results: null text, empty text or text without words has an empty set, which is linked with
 nothing; fewer words than a shingle form one shingle; rows with null id are single and have a null
-component; rows that repeat an id are one document per text, and equal texts are linked; other
-columns are not read; an empty table gives no rows.
+component; rows that repeat an id are one document per text, and a row that repeats both counts
+once; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +53,9 @@ SKETCH_BITS = 2048
 SMALL = 64
 #: Candidates verified against one copy of their centre.
 SALT = 256
+#: Shingles in one block of a component whose links are counted, and the least that a unit weighs.
+BLOCK_SHINGLES = 1 << 17
+UNIT_WEIGHT = 128
 
 
 class Scheme:
@@ -155,13 +159,15 @@ def _parity(hashes: np.ndarray) -> bytes:
 
 
 def _survey(scheme: Scheme):
-    """One pass over the texts: per document its size and digests; per task the cost sketch."""
+    """One pass over the texts: per document its size and digest; per task the cost sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs: dict[tuple[int, int], np.ndarray] = {}
+        kinds = None
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            kinds = (batch.column(0).type, batch.column(1).type)
+            sizes, digests = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = _words(text)
                 hashes = _distinct(words, scheme.n)
                 for band, segments, base, _ in scheme.roles(len(hashes)) if len(hashes) else ():
@@ -175,22 +181,23 @@ def _survey(scheme: Scheme):
                     seen[:, :SIGNS] += bits
                     seen[:, SIGNS] += counts
                     seen[:, SIGNS + 1] += 1
-                for column, value in zip(rows, (doc, len(hashes), hashlib.sha256(b" ".join(words)).digest(), None)):
-                    column.append(value)
-            yield _survey_batch(rows)
+                sizes.append(len(hashes))
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
+            yield _survey_batch(batch.column(0), batch.column(1), sizes, digests, pa.nulls(len(sizes), pa.binary()))
         for (band, segments), seen in costs.items():
             head = np.array([band, segments], dtype=np.int64).tobytes()
-            yield _survey_batch([[None], [None], [None], [head + seen.tobytes()]])
+            none = [pa.nulls(1, kind) for kind in kinds]
+            yield _survey_batch(*none, [None], [None], pa.array([head + seen.tobytes()], pa.binary()))
 
     return run
 
 
-_SURVEY = "doc_id {}, n_shingles bigint, digest binary, costs binary"
+_SURVEY = "doc_id {}, text string, n_shingles bigint, digest binary, costs binary"
 
 
-def _survey_batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["doc_id", "n_shingles", "digest", "costs"])
+def _survey_batch(ids: pa.Array, texts: pa.Array, sizes: list, digests: list, costs: pa.Array) -> pa.RecordBatch:
+    columns = [ids, texts, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), costs]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_shingles", "digest", "costs"])
 
 
 def _add_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,23 +277,23 @@ def _sign(scheme: Scheme):
     return run
 
 
-def _shared(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``sig, doc, centre`` for every signature that more than one document has."""
-    rows = docs.select("doc_id", "text").mapInArrow(_sign(scheme), "sig bigint, doc bigint, others array<bigint>")
+def _shared(units: DataFrame, scheme: Scheme) -> DataFrame:
+    """``sig, doc, hub`` for every signature that more than one unit (``doc, text``) has."""
+    rows = units.select("doc", "text").mapInArrow(_sign(scheme), "sig bigint, doc bigint, others array<bigint>")
     by_sig = Window.partitionBy("sig")
-    met = rows.withColumn("n", F.count(F.lit(1)).over(by_sig)).withColumn("centre", F.min("doc").over(by_sig))
+    met = rows.withColumn("n", F.count(F.lit(1)).over(by_sig)).withColumn("hub", F.min("doc").over(by_sig))
     met = met.where((F.col("n") > 1) | (F.size("others") > 0))
-    return met.select("sig", F.explode(F.concat(F.array("doc"), "others")).alias("doc"), "centre")
+    return met.select("sig", F.explode(F.concat(F.array("doc"), "others")).alias("doc"), "hub")
+
+
+def _shingles(text: bytes | None, n: int) -> set[tuple[bytes, ...]]:
+    words = _words(text)
+    return set(zip(*[words[i:] for i in range(min(n, len(words)))])) if words else set()
 
 
 def _verify(scheme: Scheme):
     """Rows of one centre and salt come together, the centre first: keep the linked pairs."""
 
-    def shingles(text: bytes | None) -> set:
-        words = _words(text)
-        n = min(scheme.n, len(words))
-        return set(zip(*[words[i:] for i in range(n)])) if words else set()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre = None, set()
         for batch in batches:
@@ -296,9 +303,9 @@ def _verify(scheme: Scheme):
                 if (hub, salt) != key:
                     key, centre = (hub, salt), set()
                 if doc == hub:
-                    centre = shingles(text)
+                    centre = _shingles(text, scheme.n)
                     continue
-                own = shingles(text)
+                own = _shingles(text, scheme.n)
                 if scheme.linked(len(own & centre), len(own), len(centre)):
                     a.append(doc)
                     b.append(hub)
@@ -371,8 +378,8 @@ def _sketches(scheme: Scheme):
 
 
 def _candidates(shared: DataFrame, components: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs (``doc, hub``) of signatures that join different components; who has none is
-    its own, so without components these are all candidates."""
+    """Candidate pairs (``doc, hub``) of different components that share a signature; who has no
+    component is its own."""
     named = shared.select("sig", "doc").join(components.select(F.col("id").alias("doc"), "component"), "doc", "left")
     named = named.withColumn("component", F.coalesce("component", "doc"))
     open_ = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
@@ -400,61 +407,139 @@ def _candidates(shared: DataFrame, components: DataFrame, texts: DataFrame, sche
     return dealt.mapInArrow(_blocks(scheme), "doc bigint, hub bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, every_link: bool = True) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, n_links``.
+def _counts(scheme: Scheme):
+    """Per pair of blocks of a component: for each unit the documents it is linked with."""
+
+    def count(held: list[tuple]) -> pa.RecordBatch:
+        left = [x for x in held if x[0] == 0]
+        right = [x for x in held if x[0] == 1]
+        numbers: dict[tuple[bytes, ...], int] = {}
+        sets = [
+            [np.array([numbers.setdefault(y, len(numbers)) for y in _shingles(text, scheme.n)], dtype=np.int32) for *_, text in side]
+            for side in (left, right or left)
+        ]
+        sizes = np.array([len(x) for x in sets[1]])
+        joined, starts = np.concatenate(sets[1]), np.cumsum(sizes) - sizes
+        copies = np.array([x[2] for x in right or left])
+        here, there = np.zeros(len(left), dtype=np.int64), np.zeros(len(copies), dtype=np.int64)
+        marked = np.zeros(len(numbers), dtype=bool)
+        for i, own in enumerate(sets[0]):
+            marked[own] = True
+            common = np.add.reduceat(marked[joined], starts, dtype=np.int64)
+            marked[own] = False
+            near = common * scheme.den >= scheme.num * (sizes + len(own) - common)
+            if not right:
+                near[i] = False
+            here[i] = copies[near].sum()
+            there[near] += left[i][2]
+        units, sums = [x[1] for x in left], here
+        if right:
+            units, sums = units + [x[1] for x in right], np.concatenate([here, there])
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sums)], ["unit", "n"])
+
+    def comparable(key: tuple | None, held: list[tuple]) -> bool:
+        """Whether both blocks of the pair have units; blocks are dealt by hash and may have none."""
+        return bool(held) and {x[0] for x in held} == ({0} if key[1] == key[2] else {0, 1})
 
-    ``component_id`` is the smallest id that links reach; ``n_links`` is the number of other
-    documents that the document is linked with, copies included. Without ``every_link``, ``n_links``
-    is left out and links between texts of one component are not looked for.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)] + [batch.column(6).cast(pa.binary()).to_pylist()]
+            for root, i, j, *rest in zip(*columns):
+                if (root, i, j) != key:
+                    if comparable(key, held):
+                        yield count(held)
+                    key, held = (root, i, j), []
+                held.append(tuple(rest))
+        if comparable(key, held):
+            yield count(held)
+
+    return run
+
+
+def _links(units: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """``unit, n``: the documents behind all other units that a unit is linked with.
+
+    ``units``: ``unit, root, copies, n_shingles``. A component of several blocks sends each unit
+    once to each of its blocks, by hash, so no block needs a look at the whole component.
     """
-    docs = docs.select("doc_id", "text")
-    scheme = Scheme(n, num, den)
+    weight = F.greatest("n_shingles", F.lit(UNIT_WEIGHT))
+    roots = units.groupBy("root").agg(F.count(F.lit(1)).alias("n_units"), F.sum(weight).alias("weight")).where("n_units > 1")
+    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
+    met = units.join(roots.select("root", blocks.alias("blocks")), "root")
+    met = met.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    roles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
+        F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j"), (F.col("block") > x).cast("int").alias("side")
+    ))
+    sent = met.join(texts, met["unit"] == texts["doc"]).select("root", "unit", "copies", "text", F.explode(roles).alias("r"))
+    dealt = sent.select("root", "r.i", "r.j", "r.side", "unit", "copies", "text").repartition("root", "i", "j")
+    counted = dealt.sortWithinPartitions("root", "i", "j").mapInArrow(_counts(scheme), "unit bigint, n bigint")
+    return counted.groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _grouped(docs: DataFrame, scheme: Scheme, every_link: bool) -> DataFrame:
+    """Per row: ``doc_id, text, n_shingles, root, component_id, n_links``; ``root`` names the
+    component, and is null where there are no words or no id."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    survey = stage(docs.mapInArrow(_survey(scheme), _SURVEY.format(id_type)), "jaccard-survey")
-    scheme = Scheme(n, num, den, allocate(survey))
-    sizes = survey.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
-    known = sizes.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # Documents of equal word sequences stand behind the smallest id among them.
-    heads = known.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("copies"))
-    heads = stage(known.join(heads, "digest").select(F.col("doc_id").alias("doc"), "head", "copies").distinct(), "jaccard-heads")
-    copies = heads.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
-
-    shared = _shared(docs, scheme)
-    shared = shared.join(heads, "doc").select("sig", F.col("head").alias("doc"), "centre")
-    shared = shared.join(heads.select(F.col("doc").alias("centre"), F.col("head").alias("hub")), "centre")
-    shared = stage(shared.where("sig IS NOT NULL").select("sig", "doc", "hub").distinct(), "jaccard-shared")
-    pairs = shared.where("doc <> hub").select(F.greatest("doc", "hub").alias("doc"), F.least("doc", "hub").alias("hub")).distinct()
-    wanted = shared.select("doc").distinct()
-    texts = docs.where("doc_id IS NOT NULL").join(wanted, docs["doc_id"] == wanted["doc"]).select("doc", "text")
+    survey = docs.select("doc_id", "text").mapInArrow(_survey(scheme), _SURVEY.format(id_type))
+    survey = stage(survey.withColumn("row", F.monotonically_increasing_id()), "jaccard-survey")
+    scheme = Scheme(scheme.n, scheme.num, scheme.den, allocate(survey))
+    rows = survey.where("n_shingles IS NOT NULL")
+    # Equal word sequences are one unit, named by a row that has it.
+    known = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest", "doc_id")
+    known = known.agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"))
+    units = stage(known.groupBy("digest").agg(
+        F.min("row").alias("unit"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"),
+        F.first("n_shingles").alias("n_shingles"),
+    ), "jaccard-units")
+    texts = rows.select(F.col("row").alias("doc"), "text").join(units.select(F.col("unit").alias("doc")), "doc")
     texts = stage(texts, "jaccard-texts")
+
+    shared = stage(_shared(texts, scheme).distinct(), "jaccard-shared")
+    wanted = texts.join(shared.select("doc").distinct(), "doc")
+    links = stage(_verified(shared.where("doc <> hub").select("doc", "hub").distinct(), wanted, scheme), "jaccard-links")
+    components = connected_components(links)
+    more = stage(_verified(_candidates(shared, components, wanted, scheme), wanted, scheme), "jaccard-links")
+    components = connected_components(links.union(more))
+
+    units = units.join(components, units["unit"] == components["id"], "left").withColumn("root", F.coalesce("component", "unit"))
+    units = stage(units.select("digest", "unit", "root", "least", "copies", "n_shingles"), "jaccard-units")
+    least = units.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = units.join(least, "root")
     if every_link:
-        alone = shared.select(F.col("doc").alias("id"), F.col("doc").alias("component")).limit(0)
-        pairs = stage(_candidates(shared, alone, texts, scheme), "jaccard-candidates")
-        links = stage(_verified(pairs, texts, scheme).distinct(), "jaccard-links")
+        near = _links(units.select("unit", "root", "copies", "n_shingles"), wanted, scheme)
+        named = named.join(near, "unit", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
     else:
-        links = stage(_verified(pairs, texts, scheme), "jaccard-links")
-        components = connected_components(links.union(copies))
-        more = stage(_verified(_candidates(shared, components, texts, scheme), texts, scheme), "jaccard-links")
-        links = links.union(more).distinct()
-    components = connected_components(links.union(copies))
-    named = sizes.join(components, sizes["doc_id"] == components["id"], "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    if not every_link:
-        return named
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    classes = heads.select(F.col("head").alias("b"), "copies").distinct()
-    near = both.join(classes, "b").groupBy(F.col("a").alias("head")).agg(F.sum("copies").alias("n"))
-    degrees = heads.join(near, "head", "left").groupBy(F.col("doc").alias("a")).agg(
-        F.sum(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
-    )
-    return named.join(degrees, named["doc_id"] == degrees["a"], "left").select(
-        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        named = named.withColumn("n_links", F.lit(None).cast("bigint"))
+    named = named.select(F.col("digest").alias("_digest"), "root", "component_id", "n_links")
+    has = rows["doc_id"].isNotNull() & (rows["digest"] == named["_digest"])
+    return rows.join(named, has, "left").select(
+        "doc_id", "text", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id, n_links``.
+
+    ``component_id`` is the smallest id that links reach; ``n_links`` is the number of other
+    documents that the document is linked with, copies included.
+    """
+    return _grouped(docs, Scheme(n, num, den), every_link=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Documents without near-duplicates: of each component the row with the smallest id stays, of
-    rows that repeat it one; rows with null id stay. All columns are kept."""
-    found = jaccard_components(docs, n, num, den, every_link=False).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(found, docs["doc_id"] == found["_id"]).select(docs["*"])
-    return rows.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    """Documents without near-duplicates: of each component the row with the smallest id stays (of
+    its texts, the one with the smallest SHA-256), of rows equal in id and text one. Texts without
+    words and rows with null id stay. All columns are kept."""
+    def key(text: str):
+        return F.coalesce(F.sha2(text, 256), F.lit("")).alias("_text_key")
+
+    rows = _grouped(docs, Scheme(n, num, den), every_link=False).where("doc_id IS NOT NULL")
+    rows = rows.select(F.col("doc_id").alias("_id"), key("text"), "root")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_text_key")).alias("x")).select("x.*")
+    kept = first.union(rows.where("root IS NULL").select("_id", "_text_key").distinct())
+    keyed = docs.select("*", key("text").alias("_own_key"))
+    same = (keyed["doc_id"] == kept["_id"]) & (keyed["_own_key"] == kept["_text_key"])
+    found = keyed.join(kept, same).dropDuplicates(["_id", "_text_key"])
+    return found.select(*[keyed[f"`{c}`"] for c in docs.columns]).union(docs.where("doc_id IS NULL"))
