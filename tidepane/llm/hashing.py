@@ -49,15 +49,15 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     if not words:
         return np.empty(0, dtype=np.uint64)
     n = min(n, len(words))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    behind = np.cumsum(sizes + 1)
     out, first = [], 0
     while first + n <= len(words):
-        last, size = first, 0
-        while last < len(words) and (size < CHUNK or last < first + n):
-            size += len(words[last]) + 1
-            last += 1
+        before = int(behind[first - 1]) if first else 0
+        last = min(max(int(np.searchsorted(behind, before + CHUNK)) + 1, first + n), len(words))
         joined = np.frombuffer(b" ".join(words[first:last]), dtype=np.uint8)
-        lengths = np.fromiter(map(len, words[first:last]), dtype=np.int64, count=last - first)
-        ends = np.cumsum(lengths + 1) - 1
+        lengths = sizes[first:last]
+        ends = behind[first:last] - before - 1
         starts = ends - lengths
         out.append(span_hashes(prefix_sums(joined), starts[: last - first - n + 1], ends[n - 1 :]))
         first = last - n + 1

@@ -30,12 +30,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepane.llm.components import connected_components
 from tidepane.llm.hashing import mix, shingle_hashes
+from tidepane.llm.tables import stage_texts
 from tidepane.sources.shared import stage
 
 #: Sign counters per segment in the cost sketch.
@@ -107,10 +108,10 @@ class Scheme:
 
 
 def _folded(hashes: np.ndarray, segments: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segment of each hash (sorted by it), the hashes, and per segment a combined hash and count."""
-    at = (hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
-    order = np.argsort(at, kind="stable")
-    at, own = at[order].astype(np.int64), mix(hashes[order] + np.uint64(band + 1))
+    """Segment of each of the sorted hashes, the hashes mixed, and per segment a combined hash and count."""
+    # Segments are ranges of the upper half of the hashes, so sorted hashes are in their order.
+    at = ((hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    own = mix(hashes + np.uint64(band + 1))
     counts = np.bincount(at, minlength=segments)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
     ends = np.cumsum(counts)
@@ -165,7 +166,7 @@ def _survey(scheme: Scheme):
         costs: dict[tuple[int, int], np.ndarray] = {}
         kinds = None
         for batch in batches:
-            kinds = (batch.column(0).type, batch.column(1).type)
+            kinds = (batch.column(0).type, batch.column(2).type)
             sizes, digests = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = _words(text)
@@ -183,7 +184,7 @@ def _survey(scheme: Scheme):
                     seen[:, SIGNS + 1] += 1
                 sizes.append(len(hashes))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
-            yield _survey_batch(batch.column(0), batch.column(1), sizes, digests, pa.nulls(len(sizes), pa.binary()))
+            yield _survey_batch(batch.column(0), batch.column(2), sizes, digests, pa.nulls(len(sizes), pa.binary()))
         for (band, segments), seen in costs.items():
             head = np.array([band, segments], dtype=np.int64).tobytes()
             none = [pa.nulls(1, kind) for kind in kinds]
@@ -192,12 +193,12 @@ def _survey(scheme: Scheme):
     return run
 
 
-_SURVEY = "doc_id {}, text string, n_shingles bigint, digest binary, costs binary"
+_SURVEY = "doc_id {}, text_key binary, n_shingles bigint, digest binary, costs binary"
 
 
-def _survey_batch(ids: pa.Array, texts: pa.Array, sizes: list, digests: list, costs: pa.Array) -> pa.RecordBatch:
-    columns = [ids, texts, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), costs]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_shingles", "digest", "costs"])
+def _survey_batch(ids: pa.Array, keys: pa.Array, sizes: list, digests: list, costs: pa.Array) -> pa.RecordBatch:
+    columns = [ids, keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), costs]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "digest", "costs"])
 
 
 def _add_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,11 +478,17 @@ def _links(units: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     return counted.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def _text_key(text: str) -> Column:
+    """The SHA-256 of a text; empty bytes for null."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
 def _grouped(docs: DataFrame, scheme: Scheme, every_link: bool) -> DataFrame:
-    """Per row: ``doc_id, text, n_shingles, root, component_id, n_links``; ``root`` names the
+    """Per row: ``doc_id, text_key, n_shingles, root, component_id, n_links``; ``root`` names the
     component, and is null where there are no words or no id."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    survey = docs.select("doc_id", "text").mapInArrow(_survey(scheme), _SURVEY.format(id_type))
+    docs = docs.select("doc_id", "text", _text_key("text").alias("text_key"))
+    survey = docs.mapInArrow(_survey(scheme), _SURVEY.format(id_type))
     survey = stage(survey.withColumn("row", F.monotonically_increasing_id()), "jaccard-survey")
     scheme = Scheme(scheme.n, scheme.num, scheme.den, allocate(survey))
     rows = survey.where("n_shingles IS NOT NULL")
@@ -492,11 +499,14 @@ def _grouped(docs: DataFrame, scheme: Scheme, every_link: bool) -> DataFrame:
         F.min("row").alias("unit"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"),
         F.first("n_shingles").alias("n_shingles"),
     ), "jaccard-units")
-    texts = rows.select(F.col("row").alias("doc"), "text").join(units.select(F.col("unit").alias("doc")), "doc")
-    texts = stage(texts, "jaccard-texts")
+    # The text of each unit, from the rows of its id and text; rows that repeat both are one.
+    named = rows.join(units.select(F.col("unit").alias("row")), "row").select("doc_id", "text_key", F.col("row").alias("doc"))
+    texts = docs.where("doc_id IS NOT NULL").join(named, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    texts = stage_texts(texts.select("doc", "text"), "jaccard-texts")
 
     shared = stage(_shared(texts, scheme).distinct(), "jaccard-shared")
-    wanted = texts.join(shared.select("doc").distinct(), "doc")
+    wanted = stage(shared.select("doc").distinct(), "jaccard-wanted")
+    wanted = stage_texts(texts.join(wanted, "doc"), "jaccard-texts")
     links = stage(_verified(shared.where("doc <> hub").select("doc", "hub").distinct(), wanted, scheme), "jaccard-links")
     components = connected_components(links)
     more = stage(_verified(_candidates(shared, components, wanted, scheme), wanted, scheme), "jaccard-links")
@@ -514,7 +524,7 @@ def _grouped(docs: DataFrame, scheme: Scheme, every_link: bool) -> DataFrame:
     named = named.select(F.col("digest").alias("_digest"), "root", "component_id", "n_links")
     has = rows["doc_id"].isNotNull() & (rows["digest"] == named["_digest"])
     return rows.join(named, has, "left").select(
-        "doc_id", "text", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "text_key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
@@ -532,14 +542,11 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """Documents without near-duplicates: of each component the row with the smallest id stays (of
     its texts, the one with the smallest SHA-256), of rows equal in id and text one. Texts without
     words and rows with null id stay. All columns are kept."""
-    def key(text: str):
-        return F.coalesce(F.sha2(text, 256), F.lit("")).alias("_text_key")
-
     rows = _grouped(docs, Scheme(n, num, den), every_link=False).where("doc_id IS NOT NULL")
-    rows = rows.select(F.col("doc_id").alias("_id"), key("text"), "root")
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), "root")
     first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_text_key")).alias("x")).select("x.*")
     kept = first.union(rows.where("root IS NULL").select("_id", "_text_key").distinct())
-    keyed = docs.select("*", key("text").alias("_own_key"))
+    keyed = docs.select("*", _text_key("text").alias("_own_key"))
     same = (keyed["doc_id"] == kept["_id"]) & (keyed["_own_key"] == kept["_text_key"])
     found = keyed.join(kept, same).dropDuplicates(["_id", "_text_key"])
     return found.select(*[keyed[f"`{c}`"] for c in docs.columns]).union(docs.where("doc_id IS NULL"))
