@@ -84,6 +84,13 @@ def test_links_are_counted_over_many_blocks(spark, monkeypatch, shingles):
     test_jaccard_counts_every_link(spark)
 
 
+def test_seeds_of_very_large_hosts(spark):
+    hosts = spark.createDataFrame([("a", 3 * 10**8, 0), ("b", 10**8, 10**11)], "host string, trust_seed bigint, distrust_seed bigint")
+    out = {r.host: (r.trust, r.distrust) for r in url_graph.propagate(hosts, empty(spark, "src string, dst string")).collect()}
+    kept = url_graph.MASS * (100 - url_graph.DAMPING) // 100
+    assert out == {"a": (kept * 3 // 4, 0), "b": (kept // 4, kept)}
+
+
 def test_components_raise_when_unfinished(spark):
     edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components.connected_components(edges).collect()} == {0}

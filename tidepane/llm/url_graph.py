@@ -80,8 +80,8 @@ def propagate(
     totals = hosts.agg(F.sum("trust_seed").alias("all_trust"), F.sum("distrust_seed").alias("all_distrust"))
     seeds = hosts.crossJoin(F.broadcast(totals))  # one row of totals
     parts = F.explode(F.array(
-        F.struct(F.lit("trust").alias("kind"), F.expr(f"coalesce(trust_seed * {MASS} div nullif(all_trust, 0), 0)").alias("seed")),
-        F.struct(F.lit("distrust").alias("kind"), F.expr(f"coalesce(distrust_seed * {MASS} div nullif(all_distrust, 0), 0)").alias("seed")),
+        F.struct(F.lit("trust").alias("kind"), F.expr(f"coalesce(cast(trust_seed AS decimal(20,0)) * {MASS} div nullif(all_trust, 0), 0)").alias("seed")),
+        F.struct(F.lit("distrust").alias("kind"), F.expr(f"coalesce(cast(distrust_seed AS decimal(20,0)) * {MASS} div nullif(all_distrust, 0), 0)").alias("seed")),
     ))
     seeds = stage(
         seeds.select("host", parts.alias("p")).select("host", "p.kind", "p.seed").where("seed > 0"), "host-seeds"
