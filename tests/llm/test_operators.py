@@ -366,3 +366,41 @@ def test_pipeline_stages(spark):
 
 def test_root_is_importable():
     assert Path(corpus_pipeline.__file__).parent == Path(sys.modules["tidepane"].__file__).parent.parent
+
+
+@pytest.mark.parametrize("num", [90, 80, 50])
+def test_linked_sets_share_a_signature(num):
+    rng = np.random.default_rng(num)
+    plain_scheme, pairs = jaccard.Scheme(3, num, 100), 0
+    for trial in range(1500):
+        size = int(rng.integers(1, 30 if trial % 3 else 140))
+        moves = {}
+        for band, segments, base, _ in plain_scheme.roles(size) if trial % 2 else ():
+            if base == 1 and segments > 2:
+                none, two = rng.choice(segments, 2, replace=False)
+                moves |= {(band, int(none)): 0, (band, int(two)): 2}
+        scheme = jaccard.Scheme(3, num, 100, moves)
+        one = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        common = rng.permutation(one)[int(rng.integers(0, size * (100 - num) // 100 + 1)) :]
+        added = 0
+        while scheme.linked(len(common), len(one), len(common) + added + 1):
+            added += 1
+        own = rng.integers(0, 1 << 63, added, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        other = np.unique(np.concatenate([common, own]))
+        if scheme.linked(len(common), len(one), len(other)):
+            pairs += 1
+            assert len(np.intersect1d(jaccard.signatures(one, scheme), jaccard.signatures(other, scheme)))
+    assert pairs > 1000
+
+
+def test_small_sets_have_no_thin_signatures():
+    """Documents that only share one common shingle meet in no signature."""
+    rng = np.random.default_rng(1)
+    scheme, common = jaccard.Scheme(3, 90, 100), np.array([1 << 40], dtype=np.uint64)
+    seen = []
+    for size in range(10, 19):
+        for _ in range(50):
+            hashes = np.unique(np.concatenate([common, rng.integers(0, 1 << 64, size - 1, dtype=np.uint64)]))
+            seen.append(jaccard.signatures(hashes, scheme))
+    keys, counts = np.unique(np.concatenate(seen), return_counts=True)
+    assert counts.max() == 1

@@ -90,7 +90,8 @@ class Scheme:
     def roles(self, size: int) -> list[tuple[int, int, int, int]]:
         """(band, segments, allowance of each, largest difference) where a set of ``size`` is indexed.
 
-        There are spare segments: a set may have some that are too thin to tell it from others.
+        Segments without deletions have spare ones beside them, so that a set can leave out those that
+        are too thin to tell it from others. Sets with deletions get the fewest and thickest segments.
         """
         lows = self.bands(size)
         out = []
@@ -103,7 +104,7 @@ class Scheme:
             most = self.difference(small, small * self.den // self.num)
             base = 2 if most and small < SMALL else 1
             segments = most // base + 1
-            out.append((band, segments + (3 + segments // 16 if most else 0), base, most))
+            out.append((band, segments + (3 + segments // 16 if most and base == 1 else 0), base, most))
         return out
 
 
@@ -123,12 +124,24 @@ def _signature(sums: np.ndarray, counts: np.ndarray, band: int, segment: np.ndar
     return mix(sums ^ place) + counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _lowest(counts: np.ndarray, allowance: np.ndarray, spare: int) -> int:
+    """The greatest number of elements for which all segments with less fit into the spare allowance."""
+    least = counts - allowance + 1
+    order = np.argsort(least, kind="stable")
+    over = np.flatnonzero(np.cumsum(allowance[order]) > spare)
+    return max(0, int(least[order[over[0]]]))
+
+
 def signatures(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
     """All signatures of a set of distinct shingle hashes.
 
-    With allowance a, linked sets are within a - 1 of each other in some segment. Segments of fewer
-    than a elements can be so without anything in common; a set whose thin segments fit into the
-    spare allowance leaves empty subsets out, for a segment that has something in common remains.
+    With allowance a, linked sets are within a - 1 of each other in some segment; the allowances of
+    all such segments exceed the spare allowance. So each set leaves out subsets of fewer than
+    ``lowest`` elements, the greatest number for which the segments of fewer than lowest + a - 1
+    elements fit into its spare allowance. Of two linked sets let X be the one with the greater
+    ``lowest``: in some segment they are within a - 1, and X has at least lowest + a - 1 elements there.
+    The subset they share, X's own or one with an element deleted, then has at least ``lowest``
+    elements, and both index it.
     """
     out = []
     for band, segments, base, most in scheme.roles(len(hashes)):
@@ -136,8 +149,7 @@ def signatures(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
         allowance = np.full(segments, base)
         for segment, value in scheme.by_band.get(band, {}).items():
             allowance[segment] = value
-        spare = allowance.sum() - (most + 1)
-        lowest = 1 if allowance[counts < allowance].sum() <= spare else 0
+        lowest = _lowest(counts, allowance, int(allowance.sum()) - (most + 1))
         used = np.flatnonzero((allowance > 0) & (counts >= lowest))
         out.append(_signature(sums[used], counts[used], band, used))
         deleted = (allowance[at] == 2) & (counts[at] > lowest)
