@@ -519,9 +519,11 @@ def _grouped(docs: DataFrame, scheme: Scheme, every_link: bool) -> DataFrame:
     shared = stage(_shared(texts, scheme).distinct(), "jaccard-shared")
     wanted = stage(shared.select("doc").distinct(), "jaccard-wanted")
     wanted = stage_texts(texts.join(wanted, "doc"), "jaccard-texts")
-    links = stage(_verified(shared.where("doc <> hub").select("doc", "hub").distinct(), wanted, scheme), "jaccard-links")
+    spokes = stage(shared.where("doc <> hub").select("doc", "hub").distinct(), "jaccard-candidates")
+    links = stage(_verified(spokes, wanted, scheme), "jaccard-links")
     components = connected_components(links)
-    more = stage(_verified(_candidates(shared, components, wanted, scheme), wanted, scheme), "jaccard-links")
+    candidates = stage(_candidates(shared, components, wanted, scheme), "jaccard-candidates")
+    more = stage(_verified(candidates, wanted, scheme), "jaccard-links")
     components = connected_components(links.union(more))
 
     units = units.join(components, units["unit"] == components["id"], "left").withColumn("root", F.coalesce("component", "unit"))
