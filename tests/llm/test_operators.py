@@ -404,3 +404,11 @@ def test_small_sets_have_no_thin_signatures():
             seen.append(jaccard.signatures(hashes, scheme))
     keys, counts = np.unique(np.concatenate(seen), return_counts=True)
     assert counts.max() == 1
+
+
+@pytest.mark.parametrize("block, held", [(2, 1), (3, 4)])
+def test_jaccard_blocks_of_a_signature(table, docs, monkeypatch, block, held):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_HELD", held)
+    test_jaccard(table, docs, 3, 90)
+    test_jaccard(table, docs, 1, 50)

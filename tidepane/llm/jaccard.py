@@ -47,8 +47,9 @@ MOST_MOVES = 4096
 COSTLY = 64.0
 #: Documents signed together; their equal signatures are combined before the shuffle.
 BATCH_SIGNATURES = 1 << 19
-#: Members of a signature compared as one block.
-BLOCK = 256
+#: Members of a signature compared as one block, and candidates held before they are given out.
+BLOCK = 2048
+MOST_HELD = 1 << 16
 SKETCH_BITS = 2048
 #: Sets below this size spend their allowance on deletions, larger ones on more segments.
 SMALL = 64
@@ -339,41 +340,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     return dealt.mapInArrow(_verify(scheme), "a bigint, b bigint")
 
 
+def _comparable(key: tuple | None, held: list) -> bool:
+    """Whether both blocks of a pair have rows; blocks are dealt by hash and may have none."""
+    return bool(held) and {x[0] for x in held} == ({0} if key[1] == key[2] else {0, 1})
+
+
 def _blocks(scheme: Scheme):
     """All pairs of different components within two blocks of a signature's members that the sizes
     and the parity sketches allow."""
 
+    def compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        left = [x for x in held if x[0] == 0]
+        right = [x for x in held if x[0] == 1] or left
+        bits = [np.frombuffer(b"".join(x[4] for x in side), dtype=np.uint64).reshape(len(side), -1) for side in (left, right)]
+        ids, parts, sizes = [[np.array([x[k] for x in side]) for side in (left, right)] for k in (1, 2, 3)]
+        a, b, found = [], [], 0
+        for i in range(len(left)):
+            least = np.bitwise_count(bits[1] ^ bits[0][i]).sum(1).astype(np.int64)
+            total = sizes[1] + sizes[0][i]
+            near = (parts[1] != parts[0][i]) & (least * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * total)
+            if right is left:
+                near[: i + 1] = False
+            hit = ids[1][near]
+            a.append(np.maximum(hit, ids[0][i]))
+            b.append(np.minimum(hit, ids[0][i]))
+            found += len(hit)
+            if found >= MOST_HELD or i == len(left) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["doc", "hub"])
+                a, b, found = [], [], 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-
-        def compare() -> pa.RecordBatch:
-            left = [x for x in held if x[0] == 0]
-            right = [x for x in held if x[0] == 1] or left
-            bits = [np.frombuffer(b"".join(x[4] for x in side), dtype=np.uint64).reshape(len(side), -1) for side in (left, right)]
-            sizes = [np.array([x[3] for x in side]) for side in (left, right)]
-            parts = [np.array([x[2] for x in side]) for side in (left, right)]
-            ids = [np.array([x[1] for x in side]) for side in (left, right)]
-            a, b = [], []
-            for i in range(len(left)):
-                least = np.bitwise_count(bits[1] ^ bits[0][i]).sum(1).astype(np.int64)
-                total = sizes[1] + sizes[0][i]
-                near = (parts[1] != parts[0][i]) & (least * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * total)
-                if right is left:
-                    near[: i + 1] = False
-                hit = ids[1][near]
-                a.append(np.maximum(hit, ids[0][i]))
-                b.append(np.minimum(hit, ids[0][i]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["doc", "hub"])
-
         for batch in batches:
             for sig, i, j, *rest in zip(*[batch.column(k).to_pylist() for k in range(8)]):
-                if key is not None and (sig, i, j) != key:
-                    yield compare()
-                    held = []
-                key = (sig, i, j)
+                if (sig, i, j) != key:
+                    if _comparable(key, held):
+                        yield from compare(held)
+                    key, held = (sig, i, j), []
                 held.append(rest)
-        if held:
-            yield compare()
+        if _comparable(key, held):
+            yield from compare(held)
 
     return run
 
@@ -399,17 +405,10 @@ def _candidates(shared: DataFrame, components: DataFrame, texts: DataFrame, sche
     members = stage(named.join(open_, "sig").distinct(), "open-signatures")
     small = texts.join(members.select("doc").distinct(), "doc").select("doc", "text")
     sketches = stage(small.mapInArrow(_sketches(scheme), "doc bigint, n bigint, parity binary"), "parity-sketches")
-    # Members are numbered within parts of a signature; parts and numbers give blocks.
-    part = F.pmod(F.xxhash64("doc"), F.lit(16))
-    number = F.row_number().over(Window.partitionBy("sig", "part").orderBy("doc")) - 1
-    blocked = members.withColumn("part", part).withColumn("block", (number / BLOCK).cast("int") * 16 + F.col("part"))
-    blocks = blocked.groupBy("sig").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-    # Few members share a block: all blocks of a small signature are one.
-    counts = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n_members"))
-    blocked = blocked.join(blocks, "sig").join(counts, "sig").withColumn(
-        "block", F.when(F.col("n_members") <= BLOCK, F.lit(0)).otherwise(F.col("block"))
-    ).withColumn("blocks", F.when(F.col("n_members") <= BLOCK, F.array(F.lit(0))).otherwise(F.col("blocks")))
-    roles = F.transform("blocks", lambda x: F.struct(
+    # Members are dealt by hash to as many blocks as they fill.
+    counts = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocked = members.join(counts, "sig").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    roles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j"), (F.col("block") > x).cast("int").alias("side")
     ))
     dealt = (
@@ -450,21 +449,17 @@ def _counts(scheme: Scheme):
             units, sums = units + [x[1] for x in right], np.concatenate([here, there])
         return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sums)], ["unit", "n"])
 
-    def comparable(key: tuple | None, held: list[tuple]) -> bool:
-        """Whether both blocks of the pair have units; blocks are dealt by hash and may have none."""
-        return bool(held) and {x[0] for x in held} == ({0} if key[1] == key[2] else {0, 1})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)] + [batch.column(6).cast(pa.binary()).to_pylist()]
             for root, i, j, *rest in zip(*columns):
                 if (root, i, j) != key:
-                    if comparable(key, held):
+                    if _comparable(key, held):
                         yield count(held)
                     key, held = (root, i, j), []
                 held.append(tuple(rest))
-        if comparable(key, held):
+        if _comparable(key, held):
             yield count(held)
 
     return run
