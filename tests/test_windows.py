@@ -308,3 +308,25 @@ def test_joint_state_of_a_user(spark):
         w = ms(r["window_end"]) // 2000 - 1
         inside = [(seq, value) for seq, ts, value, a in kept if (w + 1) * 2000 - 32000 <= ts < (w + 1) * 2000 and a <= w]
         assert r["opening"] == min(inside)[1]
+
+
+@pytest.mark.parametrize("width", [4, 30])
+def test_copied_windows_stay_in_the_task_of_their_block(spark, width):
+    """Versions at and across the borders of blocks, by key (one null), with no shuffle of the copies."""
+    rng, spec = random.Random(width), WindowSpec.of(f"{width} s", "1 s", "12 s")
+    now, rows = -200.0, []
+    for seq in range(600):
+        now += rng.choice([0, 0.4, 1.7, 2, 9])
+        rows.append((seq, int((now - rng.choice([0, 0, 3, 11.9, 12, 14])) * 1000), float(rng.randint(1, 99)), rng.choice(["a", "b", None])))
+    versions = sliding_versions(make(spark, rows, keyed=True), spec, [SUM, MAX], ["k"])
+    got = {
+        (r["k"], ms(r["window_end"]) // 1000 - 1, ms(r["epoch_end"]) // 1000 - 1): (r["n"], r["sum"], r["max"], ms(r["emitted_at"]))
+        for r in versions.collect()
+    }
+    want = {}
+    for key in ("a", "b", None):
+        found, _ = brute_force([(s, t, v) for s, t, v, k in rows if k == key], width * 1000, 1000, 12000)
+        want |= {(key, w, e): (len(x), sum(x), max(x), at) for (w, e), (x, at) in found.items()}
+    assert got == want and versions.count() == len(want)
+    plan = versions._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "w#" in plan and "Exchange" not in plan.split("Generate")[0]

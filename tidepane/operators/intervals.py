@@ -17,27 +17,34 @@ Folds = dict[str, Fold]
 COPY_WIDTH = 256
 # Width of a block of neighbouring positions when copying, in interval widths.
 COPY_BLOCK = 4
+# What says where a copy is: the hash that deals out groups and blocks, and the block.
+PLACE = ["_part", "_block"]
 
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_block(df: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """All rows of a group and ``_block`` in one task, dealt by ``_part``: it is never null, so grouping
+    and joins that have it among their keys need no further shuffle."""
+    return df.withColumn(PLACE[0], F.xxhash64(*groups, "_block")).repartition(shuffle_partitions(df), PLACE[0])
+
+
 def copied_over_intervals(
     df: DataFrame, groups: Sequence[str], since: Column, until: Column, width: int, position: str
 ) -> DataFrame:
-    """One row of ``df`` per position it covers, with the ``_block`` it was copied in.
+    """One row of ``df`` per position it covers, with the ``_part`` and ``_block`` it was copied in.
 
-    Neighbouring intervals are brought together by block before they are copied, so one row per
-    state is shuffled and the aggregation that follows combines the copies inside the task.
+    Intervals are cut at the borders of blocks and brought together by block before they are copied,
+    so one row per state (two at a border) is shuffled, and all copies of a position are in one task.
     """
-    return (
-        df.withColumns({"_from": since, "_to": until})
-        .filter(F.col("_from") <= F.col("_to"))
-        .withColumn("_block", floor_div(F.col("_from"), COPY_BLOCK * width))
-        .repartition(shuffle_partitions(df), *groups, "_block")
-        .withColumn(position, F.explode(F.sequence("_from", "_to")))
-    )
+    block = COPY_BLOCK * width
+    kept = df.withColumns({"_from": since, "_to": until}).filter(F.col("_from") <= F.col("_to"))
+    kept = kept.withColumn("_block", F.explode(F.sequence(floor_div(F.col("_from"), block), floor_div(F.col("_to"), block))))
+    at = F.col("_block") * block
+    cut = kept.withColumns({"_from": F.greatest("_from", at), "_to": F.least("_to", at + block - 1)})
+    return by_block(cut, groups).withColumn(position, F.explode(F.sequence("_from", "_to")))
 
 
 def merge_over_intervals(

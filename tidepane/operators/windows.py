@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepane.functions.aggregates import Aggregate, Fold, state_of
-from tidepane.functions.slides import first_window_of, last_window_of, slide_end, window_start
+from tidepane.functions.slides import first_window_of, floor_div, last_window_of, slide_end, window_start
 from tidepane.operators import intervals
 from tidepane.operators.intervals import (
+    COPY_BLOCK,
+    PLACE,
     Folds,
+    by_block,
     copied_over_intervals,
     merge_over_intervals,
     shuffle_partitions,
@@ -49,6 +52,14 @@ def match_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
     return left.join(renamed, null_safe(names, "_r_"), how).drop(*[f"_r_{name}" for name in names])
 
 
+def closed_in_place(versions: DataFrame, closed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``versions`` with the closing time of their ``e``, from rows that lie in the same task already:
+    a join would shuffle both sides by all of its keys."""
+    both = versions.unionByName(closed, allowMissingColumns=True)
+    same = W.partitionBy(*PLACE, *groups, "e")
+    return both.withColumn("emitted_at_ms", F.max("emitted_at_ms").over(same)).filter(F.col("w").isNotNull())
+
+
 @dataclass(frozen=True)
 class Bounds:
     """First epoch, first epoch to emit and open epoch: three numbers for one global stream,
@@ -83,10 +94,13 @@ def last_epoch(spec: WindowSpec) -> Column:
 
 
 def closings(
-    epochs: DataFrame, bounds: Bounds, spec: WindowSpec, groups: Sequence[str], dense: bool
+    epochs: DataFrame, bounds: Bounds, spec: WindowSpec, groups: Sequence[str], dense: bool, place: Sequence[str] = ()
 ) -> DataFrame:
     """When each slide was closed: ``groups, e, emitted_at_ms``, NULL for one closed by flush.
 
+    With ``place`` each slide goes to every block with a window that it can close or revise, no
+    further back than the allowed lateness; slides are shuffled as spans and listed in the block.
+
     A slide is closed by the first row of the next epoch that has any row, so all slides from
     one such epoch to the next share their closing time. Without ``dense`` a long gap is only
     filled as far as windows can still hold rows, one window length.
@@ -112,8 +126,16 @@ def closings(
             .withColumn("_until", F.least("_until", F.col("_since") + FILL - 1))
             .repartition(shuffle_partitions(epochs))
         )
+    if place:
+        block, reach = COPY_BLOCK * spec.slides_per_window, spec.retained_slides
+        first, last = floor_div(F.col("_since") - reach, block), floor_div(F.col("_until"), block)
+        spans = spans.withColumn("_block", F.explode(F.sequence(first, last)))
+        at = F.col("_block") * block
+        spans = by_block(spans.withColumns({
+            "_since": F.greatest("_since", at), "_until": F.least("_until", at + (block - 1 + reach)),
+        }), groups)
     return spans.select(
-        *groups, F.explode(F.sequence("_since", "_until")).alias("e"), "emitted_at_ms"
+        *groups, *place, F.explode(F.sequence("_since", "_until")).alias("e"), "emitted_at_ms"
     )
 
 
@@ -143,6 +165,7 @@ def present(
     keys: Sequence[str],
     closed: DataFrame | None,
     kind: Column | None,
+    place: Sequence[str] = (),
 ) -> DataFrame:
     """Turn merged window state (``w``, ``e``, ``n``, state columns) into the result schema."""
     columns = [
@@ -153,7 +176,10 @@ def present(
     if kind is not None:
         columns.append(slide_end(F.col("e"), spec).alias("epoch_end"))
     if closed is not None:
-        merged = match_keys(merged, closed, [*group_keys(spec, keys), "e"], "left")
+        if place:
+            merged = closed_in_place(merged, closed, group_keys(spec, keys))
+        else:
+            merged = match_keys(merged, closed, [*group_keys(spec, keys), "e"], "left")
         columns.append(F.timestamp_millis("emitted_at_ms").alias("emitted_at"))
     if kind is not None:
         columns.append(kind.alias("kind"))
@@ -229,14 +255,12 @@ def window_changes(
     folds: Folds,
 ) -> DataFrame:
     """What each epoch ``e`` adds to each window ``w``; a pane counts from its own epoch on and
-    revises the windows that were closed before."""
+    revises the windows that were closed before. Copied windows have their ``PLACE`` and are whole:
+    one row per window and epoch."""
     width = spec.slides_per_window
     if width <= intervals.COPY_WIDTH:
         copies = copied_over_intervals(panes, groups, since, until, width, "w")
-        return (
-            copies.withColumn("e", F.greatest("w", "epoch"))
-            .groupBy(*groups, "_block", "w", "e").agg(*fold_columns(folds)).drop("_block")
-        )
+        return copies.withColumn("e", F.greatest("w", "epoch")).groupBy(*groups, *PLACE, "w", "e").agg(*fold_columns(folds))
     on_time = merge_over_intervals(
         panes, groups, F.greatest(since, "epoch"), until, width, folds, "w"
     ).withColumn("e", F.col("w"))
@@ -281,18 +305,24 @@ def window_versions(
     since = F.greatest(first_window_of(F.col("pane"), spec), oldest)
     until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
     changes = window_changes(closed_panes, spec, groups, since, until, folds)
+    # Copied windows stay in the task of their block; others come together by window.
+    place = PLACE if spec.slides_per_window <= intervals.COPY_WIDTH and not spec.emit_empty else []
     closed = None
     if emitted_at or spec.emit_empty:
-        closed = closings(epochs, bounds, spec, groups, dense=spec.emit_empty)
-    if spec.emit_empty:
-        changes = changes.unionByName(empty_windows(closed, changes, groups))
-    # Grouping and running merge both work inside a (key, window), so one shuffle serves both.
-    merged = (
-        changes.repartition(shuffle_partitions(panes), *groups, "w")
-        .groupBy(*groups, "w", "e")
-        .agg(*fold_columns(folds))
-    )
-    so_far = W.partitionBy(*groups, "w").orderBy("e").rowsBetween(W.unboundedPreceding, 0)
+        closed = closings(epochs, bounds, spec, groups, dense=spec.emit_empty, place=place)
+    if place:
+        merged = changes
+    else:
+        changes = changes.drop(*PLACE)
+        if spec.emit_empty:
+            changes = changes.unionByName(empty_windows(closed, changes, groups))
+        # Grouping and running merge both work inside a (key, window), so one shuffle serves both.
+        merged = (
+            changes.repartition(shuffle_partitions(panes), *groups, "w")
+            .groupBy(*groups, "w", "e")
+            .agg(*fold_columns(folds))
+        )
+    so_far = W.partitionBy(*groups, *place, "w").orderBy("e").rowsBetween(W.unboundedPreceding, 0)
     versions = merged.withColumns({
         name: fold.over(F.col(name), so_far) for name, fold in folds.items()
     })
@@ -301,4 +331,4 @@ def window_versions(
             F.col("emit_from").isNull() | (F.col("e") >= F.col("emit_from"))
         )
     kind = F.when(F.col("e") == F.col("w"), F.lit("current")).otherwise(F.lit("revised"))
-    return present(versions, spec, aggs, keys, closed if emitted_at else None, kind)
+    return present(versions, spec, aggs, keys, closed if emitted_at else None, kind, place)
