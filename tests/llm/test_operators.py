@@ -412,3 +412,12 @@ def test_jaccard_blocks_of_a_signature(table, docs, monkeypatch, block, held):
     monkeypatch.setattr(jaccard, "MOST_HELD", held)
     test_jaccard(table, docs, 3, 90)
     test_jaccard(table, docs, 1, 50)
+
+
+def test_quality_filter_takes_one_python_worker_a_task(spark, docs):
+    odd = spark.createDataFrame(docs + [(None, "no id"), docs[0]], DOC)
+    labels = tables.load(spark, SMALL, "labels")
+    kept = quality.keep_good(odd, labels)
+    assert kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1
+    scores = quality.quality_scores(odd, labels).where("score >= 0.5").select("doc_id")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in scores.collect())

@@ -177,9 +177,11 @@ def fit(training: DataFrame) -> Model:
     return model
 
 
-def _scored(model: Model):
+def _scored(model: Model, of_texts: bool = False):
+    """Scores from statistics, or from texts: one Python worker a task, where a second step would take another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _statistics(batches) if of_texts else batches:
             scores = model.score(_matrix(batch.column(1))) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
@@ -207,6 +209,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> Data
     """The documents whose score is at least ``at_least``, with all their columns."""
     stats = stage(document_statistics(docs, ["doc_id"]), "quality-statistics")
     model = fit(_training(stats, labels, F.col("row.doc_id")))
-    rows = document_statistics(docs, docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     schema = T.StructType([rows.schema[0], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scored(model), schema).where(F.col("score") >= at_least).select("row.*")
+    return rows.mapInArrow(_scored(model, of_texts=True), schema).where(F.col("score") >= at_least).select("row.*")
