@@ -305,8 +305,8 @@ def window_versions(
     since = F.greatest(first_window_of(F.col("pane"), spec), oldest)
     until = F.least(last_window_of(F.col("pane"), spec), last_epoch(spec))
     changes = window_changes(closed_panes, spec, groups, since, until, folds)
-    # Copied windows stay in the task of their block; others come together by window.
-    place = PLACE if spec.slides_per_window <= intervals.COPY_WIDTH and not spec.emit_empty else []
+    # Copied windows that get closing times stay in the task of their block; others come together by window.
+    place = PLACE if emitted_at and spec.slides_per_window <= intervals.COPY_WIDTH and not spec.emit_empty else []
     closed = None
     if emitted_at or spec.emit_empty:
         closed = closings(epochs, bounds, spec, groups, dense=spec.emit_empty, place=place)
